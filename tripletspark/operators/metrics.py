@@ -219,8 +219,8 @@ def metrics_json(long: DataFrame) -> DataFrame:
     """Rows (metric, k, value) -> one JSON report {metric: {k: value}} in ``report``."""
     per_metric = long.groupBy("metric").agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.coalesce(F.col("k").cast("string"), F.lit("all")), "value")))).alias("m"))
-    return per_metric.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("metric", "m"))))).alias("report"))
+    return per_metric.agg(F.to_json(F.map_from_entries(F.collect_list(
+        F.struct("metric", "m")))).alias("report"))
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

@@ -25,7 +25,6 @@ from tripletspark.functions.text import (
 Messages = list[dict]
 TextModel = Callable[[list[Messages]], list[str]]
 
-ENCODE_CHARS = 2000
 
 
 @dataclass(frozen=True)
@@ -181,16 +180,17 @@ def judge(df: DataFrame, kinds: Sequence[str], make_model: Callable[[], TextMode
 # ------------------------------------------------------------------------- embeddings
 
 def embed(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable], *,
-          batch: int = 32, normalize: bool = False, max_chars: int = ENCODE_CHARS,
+          batch: int = 32, normalize: bool = False, max_chars: int | None = None,
           out: str = "embedding") -> DataFrame:
     """Encode a text column with a user encoder: ``encoder(list[str]) -> n x d floats``.
 
-    The encoder is made once per task and sees at most ``max_chars`` characters per text,
-    the same limit as the stored index has.
+    The encoder is made once per task and sees whole texts; ``max_chars`` is for models
+    that take only so much.
     """
     import numpy as np
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
-    cut = df.withColumn("_text", truncate_chars(F.coalesce(text_col, F.lit("")), max_chars))
+    text = F.coalesce(text_col, F.lit(""))
+    cut = df.withColumn("_text", truncate_chars(text, max_chars) if max_chars else text)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()

@@ -94,6 +94,8 @@ def join_blocks(left: DataFrame, right: DataFrame, kernel: Callable, schema: T.S
             return _empty(schema)
         return kernel(left_table, right_table)
 
+    # Fresh column identities: both sides usually come from the same table.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     return (left.groupBy("lblk", "rblk")
             .cogroup(right.groupBy("lblk", "rblk"))
             .applyInArrow(run, schema))

@@ -12,7 +12,7 @@ def live_monitor(stream: DataFrame, ts: str, value: str, *, width: str = "1 hour
     """Mean, min, max and count per event-time window. Works on a stream and on a table;
     on a stream, rows later than ``lateness`` behind the newest are dropped."""
     frame = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return (stream.withWatermark(ts, lateness).groupBy(frame.alias("w"), *group_cols)
+    return (stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).groupBy(frame.alias("w"), *group_cols)
             .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
                  F.min(value).alias("min"), F.max(value).alias("max"))
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *group_cols,
