@@ -80,37 +80,39 @@ def apply_chain(df: DataFrame, steps: Sequence[Step], make_model: Callable[[], T
     needed = [c for c in df.columns if c in
               {s.input_col for s in steps} | {c for s in steps for c in (s.fields or {}).values()}]
 
+    def answer_batch(model: TextModel, rows: list[dict]) -> str | None:
+        """Add the outputs to the rows; the error text when a call fails."""
+        for step in steps:
+            source = step.input_col
+            for _ in range(step.runs):
+                try:
+                    answers = model([_messages(step, r, source) for r in rows])
+                    if len(answers) != len(rows):
+                        raise ValueError("model must answer once per item")
+                except Exception as e:  # noqa: BLE001 - user code; reported per row
+                    for r in rows:
+                        r[step.output_col] = None
+                    return f"{step.output_col}: {e}"
+                for r, a in zip(rows, answers, strict=True):
+                    r[step.output_col] = a
+                source = step.output_col
+        return None
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at:at + batch].copy()
-                rows = part[needed].astype(object).where(part[needed].notna(), None) \
-                    .to_dict("records")
-                error = None
-                for step in steps:
-                    source = step.input_col
-                    for _ in range(step.runs):
-                        try:
-                            answers = model([_messages(step, r, source) for r in rows])
-                            if len(answers) != len(rows):
-                                raise ValueError("model must answer once per item")
-                        except Exception as e:  # noqa: BLE001 - user code; reported per row
-                            error = f"{step.output_col}: {e}"
-                            break
-                        for r, a in zip(rows, answers, strict=True):
-                            r[step.output_col] = a
-                        source = step.output_col
-                    if error:
-                        for r in rows:
-                            r[step.output_col] = None
-                        break
-                for c in new_cols:
-                    part[c] = [r.get(c) if error is None or c != step.output_col else None
-                               for r in rows]
-                part["status"] = "failed" if error else "ok"
-                part["error"] = error
-                yield part[schema.names]
+            given = {c: [None if v is None or v is pd.NaT or v != v else v for v in frame[c]]
+                     for c in needed}
+            rows = [{c: given[c][i] for c in needed} for i in range(len(frame))]
+            errors: list[str | None] = []
+            for at in range(0, len(rows), batch):
+                part = rows[at:at + batch]
+                errors += [answer_batch(model, part)] * len(part)
+            for c in new_cols:
+                frame[c] = [r.get(c) for r in rows]
+            frame["status"] = ["ok" if e is None else "failed" for e in errors]
+            frame["error"] = errors
+            yield frame[schema.names]
 
     return df.mapInPandas(run, schema)
 

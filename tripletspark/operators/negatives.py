@@ -18,15 +18,13 @@ from tripletspark.operators.similarity import (
 from tripletspark.session import cut_lineage
 
 PREFIX_BLOCKS = 4
-_LAST = np.iinfo(np.int64).max
 
 
 def _candidate_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([
         T.StructField("id", id_type), T.StructField("neg_id", id_type),
         T.StructField("kind", T.StringType()), T.StructField("key", T.LongType()),
-        T.StructField("score", T.DoubleType()), T.StructField("n_range", T.LongType()),
-        T.StructField("n_valid", T.LongType()),
+        T.StructField("score", T.DoubleType()),
     ])
 
 
@@ -65,7 +63,7 @@ def hard_negatives(df: DataFrame, n: int, lo: float = 0.2, hi: float = 0.4, seed
     and takes the first n it meets in the band, which is a uniform choice from R. Most rows
     are done after a few blocks, so the first phase compares a row with ``prefix_blocks``
     blocks only, at linear cost. Rows that have not found n by then go through all blocks
-    in the second phase, which returns bounded candidate lists and the exact |R| and |V|.
+    in the second phase, which returns bounded candidate lists.
     The result is the same for any block size and any prefix.
     """
     if n < 1:
@@ -118,7 +116,6 @@ def _prefix_scan(indexed: DataFrame, size: int, blocks: int, n: int, lo: float,
         return pa.Table.from_arrays([
             _take(lt, "id", r), _take(rt, "id", c), pa.array(["R"] * len(r), pa.string()),
             pa.array(key[r, c], pa.int64()), pa.array(s[r, c]),
-            pa.array(np.zeros(len(r), np.int64)), pa.array(np.zeros(len(r), np.int64)),
         ], names=schema.names)
 
     met = join_blocks(left, right, kernel, schema)
@@ -132,7 +129,7 @@ def _prefix_scan(indexed: DataFrame, size: int, blocks: int, n: int, lo: float,
 def _full_scan(open_rows: DataFrame, indexed: DataFrame, size: int, blocks: int, n_open: int,
                n: int, lo: float, hi: float, schema: T.StructType, strict_fill: bool,
                block_rows: int) -> DataFrame:
-    """All blocks for the given rows, with bounded candidates and exact counts."""
+    """All blocks for the given rows: the n first of R and the n least similar of V."""
     chunks = max(1, -(-n_open // block_rows))
     left = (open_rows.withColumn("lblk", block_of("a", chunks))
             .withColumn("rblk", all_blocks(blocks)).drop("blk"))
@@ -148,32 +145,24 @@ def _full_scan(open_rows: DataFrame, indexed: DataFrame, size: int, blocks: int,
         key = _walk_step(a, lt["start"].to_numpy(), b, size)
         r1, c1 = _smallest(key, in_range, b, n)
         r2, c2 = _smallest(s, valid, b, n)
-        every = np.arange(len(a))
         rows, cols = np.concatenate([r1, r2]), np.concatenate([c1, c2])
-        picks = pa.Table.from_arrays([
+        return pa.Table.from_arrays([
             _take(lt, "id", rows), _take(rt, "id", cols),
             pa.array(["R"] * len(r1) + ["V"] * len(r2), pa.string()),
             pa.array(np.concatenate([key[r1, c1], b[c2]]), pa.int64()),
-            pa.array(s[rows, cols]), pa.array(np.zeros(len(rows), np.int64)),
-            pa.array(np.zeros(len(rows), np.int64))], names=schema.names)
-        counts = pa.Table.from_arrays([
-            _take(lt, "id", every), pa.nulls(len(a), picks.schema.field("neg_id").type),
-            pa.array(["C"] * len(a), pa.string()), pa.array(np.full(len(a), _LAST)),
-            pa.array(np.zeros(len(a))), pa.array(in_range.sum(axis=1).astype(np.int64)),
-            pa.array(valid.sum(axis=1).astype(np.int64))], names=schema.names)
-        return pa.concat_tables([picks, counts]).combine_chunks()
+            pa.array(s[rows, cols])], names=schema.names)
 
     found = join_blocks(left, right, kernel, schema)
-    per_row = Window.partitionBy("id")
     order = Window.partitionBy("id", "kind").orderBy(
         F.when(F.col("kind") == "V", F.col("score")).otherwise(0.0), "key")
-    ranked = (found.withColumn("_r", F.sum("n_range").over(per_row))
-              .withColumn("_v", F.sum("n_valid").over(per_row))
-              .filter("kind <> 'C'")
-              .withColumn("_pos", F.row_number().over(order)))
+    per_row = Window.partitionBy("id")
+    # n of each kind decide: min(|R|, n) and min(|V|, n) are all the cases depend on.
+    ranked = (found.withColumn("_pos", F.row_number().over(order)).filter(F.col("_pos") <= n)
+              .withColumn("_r", F.count_if(F.col("kind") == "R").over(per_row))
+              .withColumn("_v", F.count_if(F.col("kind") == "V").over(per_row)))
     need = F.greatest(F.lit(n) - F.col("_r"), F.lit(0))
     may_fill = (F.col("_r") == 0) | (F.col("_v") >= need) | F.lit(not strict_fill)
-    from_band = (F.col("kind") == "R") & (F.col("_pos") <= n)
+    from_band = F.col("kind") == "R"
     fill = (F.col("kind") == "V") & may_fill & (F.col("_pos") <= need)
     return (ranked.filter(from_band | fill)
             .select("id", "neg_id", "score",

@@ -1,14 +1,16 @@
 """Exact similarity search and all-pairs statistics.
 
 Two physical shapes. When the query side is proven small it is broadcast and the corpus is
-scanned once where it lies. Otherwise both sides are cut into blocks of bounded size, block
-pairs meet through an equi-join, and a task multiplies two blocks and emits only bounded
-results: top-k lists, counts per row or a histogram, never the pairs.
+scanned once where it lies. Otherwise both sides are cut into blocks of bounded size, a block
+meets only the blocks that bounds on the cosine cannot rule out, through an equi-join, and a
+task multiplies two blocks and emits only bounded results: top-k lists, counts per row or a
+histogram, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripletspark.operators.indexing import hash_key
+from tripletspark.session import cut_lineage
+
 BLOCK_ROWS = 1024
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
@@ -185,25 +190,166 @@ def _hits(q: np.ndarray, d: np.ndarray, s: np.ndarray, schema: T.StructType) ->
     return pa.Table.from_arrays(arrays, schema=target).combine_chunks()
 
 
+# Cells: rows are grouped by their nearest pivot (a sampled corpus row). With the largest
+# angle between a cell's rows and its pivot, the triangle inequality bounds the cosine of a
+# query to every row of the cell, so whole cells are left out without losing a result.
+MAX_PIVOTS = 1024
+_SLACK = 1e-5  # on cosines, far above rounding at six decimals
+
+
+@dataclass(frozen=True)
+class Cells:
+    pivots: np.ndarray        # unit rows
+    radius: np.ndarray        # largest angle of a row to its pivot
+    first_block: list[int]    # number of the cell's first block
+    blocks: list[int]         # blocks of the cell, each of about block_rows rows
+
+    def bounds(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest and largest possible cosine of each row to each cell."""
+        angle = np.arccos(np.clip(unit @ self.pivots.T, -1.0, 1.0))
+        low = np.cos(np.minimum(angle + self.radius, np.pi)) - _SLACK
+        high = np.cos(np.maximum(angle - self.radius, 0.0)) + _SLACK
+        return low, high
+
+
+def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add ``cell`` (nearest pivot) and ``angle`` to it; ``df`` has the columns id, v."""
+    sent = df.sparkSession.sparkContext.broadcast(pivots)
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()),
+                           T.StructField("angle", T.DoubleType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            cos = to_unit(to_matrix(batch.column(1))) @ sent.value.T
+            cell = cos.argmax(axis=1)
+            angle = np.arccos(np.clip(cos[np.arange(len(cell)), cell], -1.0, 1.0))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)],
+                names=schema.names)
+
+    return df.mapInArrow(place, schema)
+
+
+def build_cells(corpus: DataFrame, block_rows: int, seed: int = 42) -> Cells | None:
+    """Cells of ``corpus`` (id, v). At most MAX_PIVOTS vectors and cell sizes reach the
+    driver. A cell that holds much of the table is cut into many blocks."""
+    pivots = min(MAX_PIVOTS, block_count(corpus, block_rows))
+    picked = (corpus.select("v", hash_key("id", seed).alias("h"), "id")
+              .orderBy("h", "id").limit(pivots).select("v").toArrow())
+    if picked.num_rows == 0:
+        return None
+    matrix = to_unit(to_matrix(picked["v"]))
+    stats = (_with_cell(corpus, matrix).groupBy("cell")
+             .agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r"))
+             .orderBy("cell").collect())
+    used = [s.cell for s in stats]  # a repeated pivot has no rows of its own
+    blocks = [-(-s.n // block_rows) for s in stats]
+    first = [0, *np.cumsum(blocks)[:-1].tolist()]
+    return Cells(matrix[used], np.array([s.r for s in stats]), first, blocks)
+
+
+def _lookup(values: list[int], cell: str = "cell") -> Column:
+    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col(cell) + 1)
+
+
+def _block_in_cell(first: list[int], blocks: list[int], id_col: str) -> Column:
+    return (_lookup(first) + F.pmod(F.xxhash64(id_col), _lookup(blocks))).cast("int")
+
+
+def place_in_blocks(df: DataFrame, cells: Cells, out: str) -> DataFrame:
+    """(id, v, cell, angle, out): the block of each corpus row."""
+    return _with_cell(df, cells.pivots).withColumn(
+        out, _block_in_cell(cells.first_block, cells.blocks, "id"))
+
+
+def chunk_queries(df: DataFrame, cells: Cells, block_rows: int) -> DataFrame:
+    """(id, v, cell, angle, lblk): query rows in chunks of bounded size, near queries
+    together."""
+    placed = _with_cell(df, cells.pivots)
+    counts = {r.cell: r.n for r in placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
+    chunks = [max(1, -(-counts.get(c, 0) // block_rows)) for c in range(len(cells.blocks))]
+    first = [0, *np.cumsum(chunks)[:-1].tolist()]
+    return placed.withColumn("lblk", _block_in_cell(first, chunks, "id"))
+
+
+def route(queries: DataFrame, cells: Cells, wanted: Callable) -> DataFrame:
+    """One row per query and corpus block (``rblk``) that may matter to it.
+
+    ``wanted(low, high, limits)`` says which cells a query needs, from the bounds on its
+    cosines and the query's column ``floor``.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(cells)
+    schema = T.StructType([*queries.schema.fields,
+                           T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+    at_v, at_floor = queries.columns.index("v"), queries.columns.index("floor")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCAN_ROWS):
+                part = batch.slice(at, SCAN_ROWS)
+                low, high = sent.value.bounds(to_unit(to_matrix(part.column(at_v))))
+                floor = part.column(at_floor).to_numpy(zero_copy_only=False)
+                keep = wanted(low, high, floor[:, None])
+                ends = np.concatenate([[0], keep.sum(axis=1).cumsum()]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.nonzero(keep)[1].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=schema.names)
+
+    first, blocks = _lookup(cells.first_block, "_cell"), _lookup(cells.blocks, "_cell")
+    return (queries.mapInArrow(choose, schema)
+            .withColumn("_cell", F.explode("_cells")).drop("_cells")
+            .withColumn("rblk", F.explode(F.sequence(first, first + blocks - 1)))
+            .drop("_cell"))
+
+
+def meet(routed: DataFrame, corpus_blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the block join: a corpus block is copied only to the query chunks that
+    ask for it."""
+    asked = routed.select("lblk", "rblk").distinct()
+    return routed, corpus_blocks.join(asked, "rblk")
+
+
 def _topk_by_blocks(q: DataFrame, c: DataFrame, k: int, schema: T.StructType,
                     exclude_self: bool, block_rows: int) -> DataFrame:
-    nq, nc = block_count(q, block_rows), block_count(c, block_rows)
-    left = q.withColumn("lblk", block_of("query_id", nq)).withColumn("rblk", all_blocks(nc))
-    right = c.withColumn("rblk", block_of("doc_id", nc)).withColumn("lblk", all_blocks(nq))
+    """Exact top-k in two rounds. Each query first meets one block of its nearest cell; its
+    k-th best score there is a lower bound, and only cells that can beat it come next."""
+    queries = q.withColumnRenamed("query_id", "id")
+    docs = c.withColumnRenamed("doc_id", "id")
+    cells = build_cells(docs, block_rows)
+    if cells is None:
+        return q.sparkSession.createDataFrame([], schema)
+    right = place_in_blocks(docs, cells, "rblk").select("id", "v", "rblk")
+    chunked = chunk_queries(queries, cells, block_rows)
+    seed_block = (_lookup(cells.first_block) + F.pmod("lblk", _lookup(cells.blocks))).cast("int")
+    chunked = chunked.withColumn("seed", seed_block)
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        qi, di = to_ids(lt["query_id"]), to_ids(rt["doc_id"])
+        qi, di = to_ids(lt["id"]), to_ids(rt["id"])
         s = np.round(to_unit(to_matrix(lt["v"])) @ to_unit(to_matrix(rt["v"])).T, DECIMALS)
         if exclude_self:
             s[qi[:, None] == di[None, :]] = -np.inf
-        r, j = _candidates(s, k)
+        r, j = _candidates(s, k, lt["floor"].to_numpy())
         keep = np.isfinite(s[r, j])
         r, j = r[keep], j[keep]
         top = best_k(r, di[j], s[r, j], k)
         r, j = r[top], j[top]
         return _hits(qi[r], di[j], s[r, j], schema)
 
-    return join_blocks(left, right, kernel, schema)
+    lowest = F.lit(float("-inf"))
+    seeded = chunked.withColumn("rblk", F.col("seed")).withColumn("floor", lowest)
+    near = join_blocks(*meet(seeded, right), kernel, schema)
+    if sum(cells.blocks) == 1:
+        return near
+    near = cut_lineage(near)
+    floors = near.groupBy(F.col("query_id").alias("id")).agg(
+        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_floor"))
+    known = (chunked.join(floors, "id", "left")
+             .withColumn("floor", F.coalesce("_floor", lowest)).drop("_floor"))
+    far = route(known, cells, lambda low, high, floor: high >= floor).filter("rblk <> seed")
+    return near.unionByName(join_blocks(*meet(far, right), kernel, schema))
 
 
 # ------------------------------------------------------- all pairs, pre-aggregated only
@@ -213,14 +359,20 @@ def similarity_range_counts(df: DataFrame, lo: float, hi: float, *, id_col: str
     """Range join in aggregated form: per row, how many other rows have
     lo <= cosine <= hi, and the mean, smallest and largest such cosine."""
     base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
-    blocks = block_count(base, block_rows)
-    own = block_of("id", blocks)
-    left = base.withColumn("lblk", own).withColumn("rblk", all_blocks(blocks))
-    right = base.withColumn("rblk", own).withColumn("lblk", all_blocks(blocks))
     schema = T.StructType([base.schema["id"], *[
         T.StructField(n, t) for n, t in (
             ("n", T.LongType()), ("total", T.DoubleType()),
             ("low", T.DoubleType()), ("high", T.DoubleType()))]])
+    cells = build_cells(base, block_rows)
+    if cells is None:
+        return df.sparkSession.createDataFrame([], T.StructType([
+            T.StructField(id_col, base.schema["id"].dataType),
+            T.StructField("n_in_range", T.LongType()),
+            *[T.StructField(n, T.DoubleType()) for n in ("mean_sim", "min_sim", "max_sim")]]))
+    chunked = chunk_queries(base, cells, block_rows).withColumn("floor", F.lit(lo))
+    # Cells whose cosines all lie outside the range are never met.
+    left = route(chunked, cells, lambda low, high, floor: (high >= floor) & (low <= hi))
+    right = place_in_blocks(base, cells, "rblk").select("id", "v", "rblk")
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
         li, ri = to_ids(lt["id"]), to_ids(rt["id"])
@@ -234,8 +386,11 @@ def similarity_range_counts(df: DataFrame, lo: float, hi: float, *, id_col: str
             "high": np.where(inside, s, -np.inf).max(axis=1),
         })
 
+    counted = join_blocks(*meet(left, right), kernel, schema)
+    nothing = base.select("id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"),
+                          F.lit(float("inf")).alias("low"), F.lit(float("-inf")).alias("high"))
     some = F.sum("n") > 0
-    return (join_blocks(left, right, kernel, schema)
+    return (counted.unionByName(nothing)  # rows without any such partner
             .groupBy(F.col("id").alias(id_col))
             .agg(F.sum("n").alias("n_in_range"),
                  F.when(some, F.sum("total") / F.sum("n")).alias("mean_sim"),
@@ -349,7 +504,6 @@ def ranked_negatives(df: DataFrame, n: int, strategy: str = "hardest", top_k: in
     ``hardest`` takes ranks 1..n, ``semi-hard`` the n ranks around the middle of the list,
     ``random`` the first n in hash order.
     """
-    from tripletspark.operators.indexing import hash_key
     if strategy not in ("hardest", "semi-hard", "random"):
         raise ValueError(f"unknown strategy {strategy!r}")
     if not 1 <= n <= top_k:
