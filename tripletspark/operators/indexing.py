@@ -137,12 +137,14 @@ def order_chunks(df: DataFrame, order_col: str, chunks: int | None = None,
     chunks = max(1, min(chunks, MAX_CHUNKS))
     points = sorted({seen.q[i * MAX_CHUNKS // chunks - 1] for i in range(1, chunks)}) \
         if seen.q else []
+    # Rows without a value come first, as in a sort.
     if not points:
-        return df.withColumn(out, F.lit(0).cast("long"))
+        return df.withColumn(out, F.when(number.isNull(), -1).otherwise(0).cast("long"))
     splits = [float("-inf"), *points, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_number", outputCol="_cut", handleInvalid="keep")
     return (cut.transform(df.withColumn("_number", number))
-            .withColumn(out, F.col("_cut").cast("long")).drop("_number", "_cut"))
+            .withColumn(out, F.when(F.col("_number").isNull(), -1)
+                        .otherwise(F.col("_cut")).cast("long")).drop("_number", "_cut"))
 
 
 def ordered_index(df: DataFrame, order_col: str, tie_cols: Sequence[str] = (), *,

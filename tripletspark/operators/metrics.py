@@ -163,28 +163,28 @@ def roc_auc(df: DataFrame, distance: str, label: str,
     """Area under the ROC curve of score = 1 - distance, ties counted half; NaN when only
     one class occurs.
 
-    Rows are first counted per score (six decimals); running counts then go chunk by chunk
-    over at most a few thousand score chunks.
+    Rows are first counted per score (six decimals), scores then per chunk of a thousandth;
+    running counts go inside chunks and over the few thousand chunks.
     """
     group_cols = list(group_cols)
     positive = F.col(label) == 1
     per_score = (df.groupBy(*group_cols, F.round(1.0 - F.col(distance), 6).alias("s"))
                  .agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-                 .withColumn("_c", F.floor(F.col("s") * 1000)))
-    chunk = per_score.groupBy(*group_cols, "_c").agg(F.sum("q").alias("cq"))
-    earlier = (Window.partitionBy(*group_cols).orderBy("_c")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    chunk = chunk.select(*group_cols, "_c",
-                         F.coalesce(F.sum("cq").over(earlier), F.lit(0)).alias("_before"))
-    lower = (Window.partitionBy(*group_cols, "_c").orderBy("s")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (per_score.withColumn("_in", F.coalesce(F.sum("q").over(lower), F.lit(0)))
-              .join(chunk, [*group_cols, "_c"])
-              .withColumn("_win", F.col("p") * (F.col("_before") + F.col("_in")
-                                                + F.col("q") * 0.5)))
-    return (ranked.groupBy(*group_cols)
-            .agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("_win").alias("w"))
-            .select(*group_cols, "n_pos", "n_neg",
+                 .withColumn("c", F.floor(F.col("s") * 1000)))
+
+    def below(order: str, value: str, *keys: str) -> Column:
+        rows = (Window.partitionBy(*group_cols, *keys).orderBy(order)
+                .rowsBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(F.sum(value).over(rows), F.lit(0))
+
+    per_chunk = (per_score.withColumn("w", F.col("p") * (below("s", "q", "c") + F.col("q") * 0.5))
+                 .groupBy(*group_cols, "c")
+                 .agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q")))
+    return (per_chunk.withColumn("w", F.col("w") + F.col("p") * below("c", "q"))
+            .groupBy(*group_cols)
+            .agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("w").alias("w"))
+            .select(*group_cols, F.coalesce("n_pos", F.lit(0)).alias("n_pos"),
+                    F.coalesce("n_neg", F.lit(0)).alias("n_neg"),
                     F.coalesce(F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")),
                                F.lit(float("nan"))).alias("auc")))
 

@@ -249,10 +249,11 @@ def mean_pool(df: DataFrame, group_cols: Sequence[str], vec: str = "embedding",
               weight: str | None = None, out: str = "embedding") -> DataFrame:
     """Weighted mean vector per group; the total weight is floored at 1e-9."""
     from pyspark.ml.stat import Summarizer
-    v = array_to_vector(F.col(vec).cast("array<double>"))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    parts = df.withColumn("_v", v).withColumn("_w", w).groupBy(*group_cols).agg(
-        Summarizer.sum(F.col("_v"), F.col("_w")).alias("_s"), F.sum("_w").alias("_t"))
+    scaled = F.transform(F.col(vec).cast("array<double>"), lambda x: x * F.col("_w"))
+    parts = (df.withColumn("_w", w).withColumn("_v", array_to_vector(scaled))
+             .groupBy(*group_cols)
+             .agg(Summarizer.sum(F.col("_v")).alias("_s"), F.sum("_w").alias("_t")))
     floor = F.greatest(F.col("_t"), F.lit(1e-9))
     return parts.select(*group_cols, F.transform(
         vector_to_array("_s"), lambda x: x / floor).alias(out))

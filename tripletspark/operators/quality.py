@@ -128,10 +128,18 @@ def count_removed(before: Sequence[DataFrame], after: DataFrame) -> DataFrame:
                     (F.sum("b") - F.sum("a")).alias("n_removed"))
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Replace a column by a costly expression. Filters on the result stay above it; as a
+    plain projection Catalyst would copy the expression into each of them."""
+    others = [c for c in df.columns if c != name]
+    return (df.select(*others, F.explode(F.array(value)).alias(name))
+            .select(*df.columns))
+
+
 def preprocess(df: DataFrame, text_col: str, order_col: str, min_chars: int = 10,
                max_chars: int = 5000) -> DataFrame:
     """Clean white space, filter by length, drop repeats (first wins), drop blanks."""
-    cleaned = df.withColumn(text_col, clean_whitespace(text_col))
+    cleaned = computed_once(df, text_col, clean_whitespace(text_col))
     sized = filter_length(cleaned, text_col, min_chars, max_chars)
     kept = dedup(sized, text_col, "first", order_col)
     # Cleaned text of one character or more cannot be blank.

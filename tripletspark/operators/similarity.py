@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,7 @@ BLOCK_ROWS = 1024
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
 SCAN_ROWS = 2048
+SCAN_SCORES = 4 << 20  # scores held at a time while a task scans the corpus
 DECIMALS = 6  # similarities are compared and reported at this precision
 
 
@@ -156,9 +159,10 @@ def _topk_by_scan(probe: pa.Table, corpus: DataFrame, k: int, schema: T.StructTy
         row = np.zeros(0, dtype=np.int64)
         docs, score = None, np.zeros(0)
         floor = np.full(len(query_ids), -np.inf)
+        step = max(64, SCAN_SCORES // len(query_ids))
         for batch in batches:
-            for at in range(0, batch.num_rows, SCAN_ROWS):
-                part = batch.slice(at, SCAN_ROWS)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 d = to_ids(part.column(0))
                 s = np.round(q @ to_unit(to_matrix(part.column(1))).T, DECIMALS)
                 if exclude_self:
@@ -403,11 +407,10 @@ def self_similarity_moments(df: DataFrame, *, vec: str = "embedding") -> DataFra
     pairs, exactly and in linear time.
 
     With unit vectors u: the sum of all u_i.u_j is |sum u|^2, and the sum of their squares
-    is the squared Frobenius norm of sum(u u^T). So each partition contributes one d-vector
-    and one d x d matrix, and no pair is ever formed.
+    is the squared Frobenius norm of sum(u u^T). So a task hands on one packed row with
+    sum(u u^T), sum(u) and three numbers, these rows are added up in two steps, and no pair
+    is ever formed.
     """
-    schema = "n long, diag double, diag2 double, i int, j int, g double"
-
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = total = None
         n, diag, diag2 = 0, 0.0, 0.0
@@ -420,36 +423,32 @@ def self_similarity_moments(df: DataFrame, *, vec: str = "embedding") -> DataFra
             square = (u * u).sum(axis=1)
             n, diag, diag2 = n + len(u), diag + square.sum(), diag2 + (square ** 2).sum()
         if gram is not None:
-            d = len(total)
-            i, j = np.divmod(np.arange(d * d), d)
-            rows = pa.table({
-                "n": pa.array(np.zeros(d * d + d + 1, np.int64)),
-                "diag": np.zeros(d * d + d + 1), "diag2": np.zeros(d * d + d + 1),
-                "i": np.concatenate([i, np.arange(d), [-1]]).astype(np.int32),
-                "j": np.concatenate([j, np.full(d, -1), [-1]]).astype(np.int32),
-                "g": np.concatenate([gram.ravel(), total, [0.0]]),
-            })
-            head = pa.table({"n": pa.array([n]), "diag": [diag], "diag2": [diag2],
-                             "i": pa.array([-2], pa.int32()), "j": pa.array([-2], pa.int32()),
-                             "g": [0.0]})
-            yield from pa.concat_tables([rows, head]).combine_chunks().to_batches()
-
-    parts = df.select(vec).mapInArrow(accumulate, schema)
-    cells = parts.groupBy("i", "j").agg(
-        F.sum("n").alias("n"), F.sum("diag").alias("diag"), F.sum("diag2").alias("diag2"),
-        F.sum("g").alias("g"))
-    sums = cells.agg(
-        F.sum("n").alias("n"), F.sum("diag").alias("diag"), F.sum("diag2").alias("diag2"),
-        F.sum(F.when((F.col("i") >= 0) & (F.col("j") >= 0), F.col("g") * F.col("g")))
-        .alias("sq"),
-        F.sum(F.when((F.col("i") >= 0) & (F.col("j") == -1), F.col("g") * F.col("g")))
-        .alias("lin"))
-    pairs = F.col("n") * (F.col("n") - 1)
-    mean = F.try_divide(F.col("lin") - F.col("diag"), pairs)
-    second = F.try_divide(F.col("sq") - F.col("diag2"), pairs)
-    return sums.select(
-        pairs.alias("n_pairs"), mean.alias("mean_sim"),
-        F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))).alias("std_sim"))
+            packed = np.concatenate([[float(n), diag, diag2], total, gram.ravel()])
+            yield pa.RecordBatch.from_pydict({"packed": [packed]})
+
+    def added(parts: DataFrame, by: Column) -> DataFrame:
+        return (parts.groupBy(by.alias("slot"))
+                .agg(Summarizer.sum(array_to_vector("packed")).alias("s"))
+                .select(vector_to_array("s").alias("packed")))
+
+    parts = df.select(vec).mapInArrow(accumulate, "packed array<double>")
+    sums = added(added(parts, F.spark_partition_id() % 64), F.lit(0))
+    x = F.col("packed")
+    dims = F.floor((F.sqrt(4.0 * (F.size(x) - 3) + 1) - 1) / 2).cast("int")
+
+    def squares(first: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(x, first, count), F.lit(0.0), lambda acc, y: acc + y * y)
+
+    n, diag, diag2 = (F.element_at(x, i) for i in (1, 2, 3))
+    pairs = (n * (n - 1)).cast("long")
+    mean = F.try_divide(squares(F.lit(4), dims) - diag, pairs)
+    second = F.try_divide(squares(4 + dims, dims * dims) - diag2, pairs)
+    one = sums.select(pairs.alias("n_pairs"), mean.alias("m"), second.alias("m2"))
+    # An aggregate over at most one row, so that an empty table gives a row as well.
+    return one.agg(
+        F.coalesce(F.max("n_pairs"), F.lit(0)).alias("n_pairs"), F.max("m").alias("mean_sim"),
+        F.max(F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(0.0))))
+        .alias("std_sim"))
 
 
 BIN = 10_000  # histogram of all-pairs cosines at four decimals

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletspark.functions.vectors import cosine_similarity, distance, l2_normalize
-from tripletspark.operators.indexing import hash_key
+from tripletspark.operators.indexing import dense_index
 from tripletspark.operators.metrics import value_counts
 from tripletspark.operators.sampling import sample_n
 
@@ -63,9 +63,8 @@ def triplet_graph(df: DataFrame, n: int, seed: int = 42, *, id_col: str = "id",
     """(nodes, edges) of n sampled items. Node ids come from (item, role, position), so
     they do not depend on the order in which tasks run."""
     picked = sample_n(df.select(id_col, anchor, positive, negatives), n, id_col, seed)
-    # The sample is what is drawn on a screen; its rows get their item number here.
-    numbered = picked.withColumn("item", F.row_number().over(
-        Window.partitionBy(F.lit(0)).orderBy(hash_key(id_col, seed), id_col)))
+    numbered = (dense_index(picked, id_col, seed=seed, out="item")
+                .withColumn("item", F.col("item") + 1))
     key = F.col(id_col).cast("string")
     nodes = numbered.select(F.col(id_col), "item", F.explode(F.concat(
         F.array(
