@@ -56,6 +56,25 @@ def test_batch_error_stops_and_resumes(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
 
 
+def test_failed_batch_can_be_skipped(spark, tmp_path):
+    src, out, point = (str(tmp_path / x) for x in ("src", "out", "point"))
+    for i in range(3):
+        spark.range(i * 2, i * 2 + 2).coalesce(1).write.mode("append").parquet(src)
+    schema = spark.read.parquet(src).schema
+
+    def moody(batch):
+        if batch.filter("id = 2").count():
+            raise RuntimeError("down")
+        return batch
+
+    errors = incremental_process(spark, src, out, point, "id", moody, schema, files_per_batch=1,
+                                 skip_failed=True)
+    assert len(errors) == 1 and "down" in errors[0]
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 4, 5]
+    retry_open(spark, spark.read.parquet(src), out, "id", lambda d: d)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(6))
+
+
 def test_live_monitor_drops_late_rows(spark, tmp_path):
     src, out, point = (str(tmp_path / x) for x in ("src", "out", "point"))
     t0 = datetime(2024, 1, 1)

@@ -79,33 +79,28 @@ def mark_sample(df: DataFrame, id_col: str, *, n: int | None = None,
                 out: str = "in_sample") -> DataFrame:
     """Flag exactly min(n, N) rows (or ceil(fraction * N)): those first in hash order.
 
-    Whole hash buckets lie inside or outside the sample; only the one bucket on the edge is
-    ranked. The table itself is neither sorted nor shuffled.
+    The bucket sizes tell in which hash bucket the sample ends; only that bucket is ranked,
+    to find the last row inside. All other rows compare their hash with it: the table itself
+    is neither sorted nor shuffled.
     """
     if (n is None) == (fraction is None):
         raise ValueError("give either n or fraction")
-    bucket = F.substring(hash_key(id_col, seed), 1, HASH_DIGITS)
-    keyed = df.withColumn("_b", bucket)
-    sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = _starts(sizes, [], "_b", "_n", "_start")
+    key = hash_key(id_col, seed)
+    bucket = F.substring(key, 1, HASH_DIGITS)
+    sizes = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     all_rows = F.sum("_n").over(Window.partitionBy())
-    limit = F.lit(n).cast("long") if n is not None else F.ceil(F.lit(fraction) * all_rows)
-    starts = starts.withColumn("_limit", limit)
-    inside = starts.select(
-        "_b", (F.col("_start") + F.col("_n") <= F.col("_limit")).alias("_whole"))
-    edge = starts.filter((F.col("_start") < F.col("_limit"))
-                         & (F.col("_start") + F.col("_n") > F.col("_limit")))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(hash_key(id_col, seed), id_col))
-    at_edge = (keyed.select("_b", id_col)
-               .join(F.broadcast(edge), "_b")
-               .withColumn("_rank", rank)
-               .filter(F.col("_rank") <= F.col("_limit") - F.col("_start"))
-               .select(id_col, F.lit(True).alias("_edge")))
-    return (keyed.join(F.broadcast(inside), "_b", "left")
-            .join(at_edge, id_col, "left")
-            .withColumn(out, F.coalesce(F.col("_whole"), F.lit(False))
-                        | F.coalesce(F.col("_edge"), F.lit(False)))
-            .select(*df.columns, out))
+    limit = F.lit(n) if n is not None else F.ceil(F.lit(fraction) * all_rows)
+    last_bucket = (_starts(sizes, [], "_b", "_n", "_start")
+                   .withColumn("_rank", F.least(limit, all_rows) - F.col("_start"))
+                   .filter((F.col("_rank") > 0) & (F.col("_rank") <= F.col("_n")))
+                   .select("_b", "_rank"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(key, id_col))
+    last_row = (df.select(id_col, bucket.alias("_b"))
+                .join(F.broadcast(last_bucket), "_b")  # one row
+                .withColumn("_place", place).filter(F.col("_place") == F.col("_rank"))
+                .select(F.struct(key.alias("h"), F.col(id_col).alias("i"))))
+    inside = F.struct(key.alias("h"), F.col(id_col).alias("i")) <= last_row.scalar()
+    return df.withColumn(out, F.coalesce(inside, F.lit(False)))
 
 
 ROWS_PER_CHUNK = 100_000

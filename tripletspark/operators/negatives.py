@@ -13,10 +13,11 @@ from tripletspark.operators.indexing import dense_index
 from tripletspark.operators.metrics import similarity_stats
 from tripletspark.operators.sampling import first_offset, random_partners
 from tripletspark.operators.similarity import (
-    BLOCK_ROWS, DECIMALS, all_blocks, best_k, block_of, join_blocks, to_matrix, to_unit,
+    DECIMALS, all_blocks, best_k, block_of, join_blocks, to_matrix, to_unit,
 )
 from tripletspark.session import cut_lineage
 
+BLOCK_ROWS = 1024  # a task of the first phase holds PREFIX_BLOCKS of them against one
 PREFIX_BLOCKS = 4
 
 
@@ -33,18 +34,25 @@ def _take(table: pa.Table, name: str, rows: np.ndarray) -> pa.ChunkedArray:
 
 
 def _walk_step(a: np.ndarray, start: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """At which step of its walk row a meets row b (matrix a x b)."""
-    off = (b[None, :] - a[:, None] - 1) % n
-    return (off - start[:, None]) % max(n - 1, 1)
-
-
-def _smallest(values: np.ndarray, wanted: np.ndarray, ties: np.ndarray, k: int):
-    """(row, column) of the k smallest wanted entries per row, ties by ``ties``."""
-    score = np.where(wanted, -values.astype(np.float64), -np.inf)
-    cut = (np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k
-           else np.full(len(score), -np.inf))
-    r, c = np.nonzero((score >= cut[:, None]) & wanted)
-    top = best_k(r, ties[c], score[r, c], k)
+    """At which step of its walk row a meets row b (elementwise)."""
+    return ((b - a - 1) % n - start) % max(n - 1, 1)
+
+
+def _first_met(band: np.ndarray, lt: pa.Table, b: np.ndarray, n: int, size: int):
+    """(row, column, step) of the first n band members per row on its walk."""
+    r, c = np.nonzero(band)
+    key = _walk_step(lt["a"].to_numpy()[r], lt["start"].to_numpy()[r], b[c], size)
+    top = best_k(r, b[c], -key, n)
+    return r[top], c[top], key[top]
+
+
+def _least_similar(s: np.ndarray, valid: np.ndarray, b: np.ndarray, n: int):
+    """(row, column) of the n smallest valid similarities per row, ties by index."""
+    score = np.where(valid, s, np.inf)
+    cut = (np.partition(score, n - 1, axis=1)[:, n - 1] if score.shape[1] > n
+           else np.full(len(score), np.inf))
+    r, c = np.nonzero((score <= cut[:, None]) & valid)
+    top = best_k(r, b[c], -score[r, c], n)
     return r[top], c[top]
 
 
@@ -111,11 +119,10 @@ def _prefix_scan(indexed: DataFrame, size: int, blocks: int, n: int, lo: float,
         wanted = (s >= lo) & (s <= hi) & (a[:, None] != b[None, :])
         # In the block where the walk starts, rows before the start belong to its very end.
         wanted &= (lt["t"].to_numpy() > 0)[:, None] | (b[None, :] >= lt["first"].to_numpy()[:, None])
-        key = _walk_step(a, lt["start"].to_numpy(), b, size)
-        r, c = _smallest(key, wanted, b, n)
+        r, c, key = _first_met(wanted, lt, b, n, size)
         return pa.Table.from_arrays([
             _take(lt, "id", r), _take(rt, "id", c), pa.array(["R"] * len(r), pa.string()),
-            pa.array(key[r, c], pa.int64()), pa.array(s[r, c]),
+            pa.array(key, pa.int64()), pa.array(s[r, c]),
         ], names=schema.names)
 
     met = join_blocks(left, right, kernel, schema)
@@ -142,14 +149,13 @@ def _full_scan(open_rows: DataFrame, indexed: DataFrame, size: int, blocks: int,
         other = a[:, None] != b[None, :]
         in_range = (s >= lo) & (s <= hi) & other
         valid = (s >= 0) & ~in_range & other
-        key = _walk_step(a, lt["start"].to_numpy(), b, size)
-        r1, c1 = _smallest(key, in_range, b, n)
-        r2, c2 = _smallest(s, valid, b, n)
+        r1, c1, key = _first_met(in_range, lt, b, n, size)
+        r2, c2 = _least_similar(s, valid, b, n)
         rows, cols = np.concatenate([r1, r2]), np.concatenate([c1, c2])
         return pa.Table.from_arrays([
             _take(lt, "id", rows), _take(rt, "id", cols),
             pa.array(["R"] * len(r1) + ["V"] * len(r2), pa.string()),
-            pa.array(np.concatenate([key[r1, c1], b[c2]]), pa.int64()),
+            pa.array(np.concatenate([key, b[c2]]), pa.int64()),
             pa.array(s[rows, cols])], names=schema.names)
 
     found = join_blocks(left, right, kernel, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripletspark.functions.text import clean_whitespace, is_blank
+from tripletspark.session import broadcast_if_small, cut_lineage
 
 
 def is_filled(df: DataFrame, name: str) -> Column:
@@ -78,7 +79,7 @@ def remaining(df: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
 
 def text_digest(col: str) -> Column:
     """Fixed-width stand-in for a text in shuffles; all nulls share one value."""
-    return F.coalesce(F.sha2(F.col(col).cast("string"), 256), F.lit("null"))
+    return F.coalesce(F.unhex(F.sha2(F.col(col).cast("string"), 256)), F.lit(b"null"))
 
 
 def dedup(df: DataFrame, col: str, keep: str | bool = "first",
@@ -88,8 +89,9 @@ def dedup(df: DataFrame, col: str, keep: str | bool = "first",
 
     Only digests are shuffled to find the repeated values, and they are combined before
     the shuffle, so a text that fills a third of the table costs one row per map task. The
-    rows themselves then meet the list of repeated values, which AQE broadcasts when it is
-    small and splits by skew when it is not.
+    list of repeated values is stored and counted: when it is small it is broadcast and the
+    rows themselves are not shuffled at all, otherwise they are joined by digest, where AQE
+    splits a hot one (the list has one row per value).
     """
     if keep not in ("first", "last", False):
         raise ValueError("keep must be 'first', 'last' or False")
@@ -100,12 +102,13 @@ def dedup(df: DataFrame, col: str, keep: str | bool = "first",
     keyed = df.withColumn("_digest", text_digest(col))
     repeated = (keyed.groupBy("_digest")
                 .agg(F.count(F.lit(1)).alias("_n"), pick.alias("_kept"))
-                .filter("_n > 1"))
+                .filter("_n > 1").select("_digest", "_kept"))
+    repeated = broadcast_if_small(cut_lineage(repeated))
     if keep is False:
         return keyed.join(repeated, "_digest", "left_anti").drop("_digest")
     return (keyed.join(repeated, "_digest", "left")
             .filter(F.col("_kept").isNull() | (F.col("_kept") == place))
-            .drop("_digest", "_n", "_kept"))
+            .drop("_digest", "_kept"))
 
 
 def merge_collections(existing: DataFrame | None, new: DataFrame, text_col: str,

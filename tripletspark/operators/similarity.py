@@ -23,12 +23,13 @@ from pyspark.sql import types as T
 from tripletspark.operators.indexing import hash_key
 from tripletspark.session import cut_lineage
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
 SCAN_ROWS = 2048
 SCAN_SCORES = 4 << 20  # scores held at a time while a task scans the corpus
 DECIMALS = 6  # similarities are compared and reported at this precision
+_HALF_STEP = 1e-6  # rounding moves a value, and its rival, by half of this
 
 
 # ---------------------------------------------------------------- helpers inside tasks
@@ -67,15 +68,23 @@ def best_k(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(order)) - first < k]
 
 
-def _candidates(scores: np.ndarray, k: int, floor: np.ndarray | None = None):
-    """(row, column) of all entries that can be among the k best of their row."""
-    if scores.shape[1] > k:
-        cut = np.partition(scores, -k, axis=1)[:, -k]
-    else:
-        cut = np.full(scores.shape[0], -np.inf)
-    if floor is not None:
-        cut = np.maximum(cut, floor)
-    return np.nonzero(scores >= cut[:, None])
+def select_top(cosines: np.ndarray, query_ids: np.ndarray, doc_ids: np.ndarray, k: int,
+               floor: np.ndarray, exclude_self: bool):
+    """(row, column, score) of the k best documents per row with score >= floor, scores at
+    six decimals. Only entries that can be among them are rounded and sorted."""
+    cut = floor - _HALF_STEP
+    open_rows = np.nonzero(np.isneginf(floor))[0]
+    wanted = k + 1 if exclude_self else k
+    if len(open_rows) and cosines.shape[1] > wanted:
+        cut[open_rows] = np.partition(cosines[open_rows], -wanted, axis=1)[:, -wanted] - _HALF_STEP
+    r, c = np.nonzero(cosines >= cut[:, None])
+    score = np.round(cosines[r, c], DECIMALS)
+    keep = score >= floor[r]
+    if exclude_self:
+        keep &= query_ids[r] != doc_ids[c]
+    r, c, score = r[keep], c[keep], score[keep]
+    top = best_k(r, doc_ids[c], score, k)
+    return r[top], c[top], score[top]
 
 
 # ------------------------------------------------------------------------ block layout
@@ -164,15 +173,11 @@ def _topk_by_scan(probe: pa.Table, corpus: DataFrame, k: int, schema: T.StructTy
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 d = to_ids(part.column(0))
-                s = np.round(q @ to_unit(to_matrix(part.column(1))).T, DECIMALS)
-                if exclude_self:
-                    s[query_ids[:, None] == d[None, :]] = -np.inf
-                r, j = _candidates(s, k, floor)
-                keep = np.isfinite(s[r, j])
-                r, j = r[keep], j[keep]
+                cosines = q @ to_unit(to_matrix(part.column(1))).T
+                r, j, s = select_top(cosines, query_ids, d, k, floor, exclude_self)
                 row = np.concatenate([row, r])
                 docs = d[j] if docs is None else np.concatenate([docs, d[j]])
-                score = np.concatenate([score, s[r, j]])
+                score = np.concatenate([score, s])
                 top = best_k(row, docs, score, k)
                 row, docs, score = row[top], docs[top], score[top]
                 full = np.bincount(row, minlength=len(query_ids)) >= k
@@ -332,15 +337,9 @@ def _topk_by_blocks(q: DataFrame, c: DataFrame, k: int, schema: T.StructType,
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
         qi, di = to_ids(lt["id"]), to_ids(rt["id"])
-        s = np.round(to_unit(to_matrix(lt["v"])) @ to_unit(to_matrix(rt["v"])).T, DECIMALS)
-        if exclude_self:
-            s[qi[:, None] == di[None, :]] = -np.inf
-        r, j = _candidates(s, k, lt["floor"].to_numpy())
-        keep = np.isfinite(s[r, j])
-        r, j = r[keep], j[keep]
-        top = best_k(r, di[j], s[r, j], k)
-        r, j = r[top], j[top]
-        return _hits(qi[r], di[j], s[r, j], schema)
+        cosines = to_unit(to_matrix(lt["v"])) @ to_unit(to_matrix(rt["v"])).T
+        r, j, s = select_top(cosines, qi, di, k, lt["floor"].to_numpy(), exclude_self)
+        return _hits(qi[r], di[j], s, schema)
 
     lowest = F.lit(float("-inf"))
     seeded = chunked.withColumn("rblk", F.col("seed")).withColumn("floor", lowest)

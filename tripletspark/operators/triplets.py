@@ -11,6 +11,7 @@ from tripletspark.functions.vectors import cosine_similarity, distance, l2_norma
 from tripletspark.operators.indexing import dense_index
 from tripletspark.operators.metrics import value_counts
 from tripletspark.operators.sampling import sample_n
+from tripletspark.session import broadcast_if_small, cut_lineage
 
 LEGACY_COLUMNS = ("hard_negative_feedback", "hard_negative_similarity",
                   "hard_negative_source_id", "random_negative", "llm_negative_feedback")
@@ -106,7 +107,7 @@ def apply_edits(base: DataFrame, edits: DataFrame, key: str, cols: Sequence[str]
     """The latest edit of a row replaces its stored values; null in an edit keeps them."""
     latest = edits.groupBy(key).agg(F.max_by(
         F.struct(*[F.col(c) for c in cols]), order_col).alias("_e"))
-    out = base.join(latest, key, "left")
+    out = base.join(broadcast_if_small(cut_lineage(latest)), key, "left")
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col("_e")[c], F.col(c)))
     return out.drop("_e").select(*base.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tripletspark.operators.quality import text_digest
 
-SCHEMA = "text_key string, embedding array<float>, model string"
+SCHEMA = "text_key binary, embedding array<float>, model string"
 
 
 class EmbeddingCache:

@@ -14,13 +14,15 @@ from tripletspark.operators.quality import remaining
 def incremental_process(spark: SparkSession, source: str, out: str, checkpoint: str, key: str,
                         fn: Callable[[DataFrame], DataFrame], schema: T.StructType, *,
                         glob: str | None = None, files_per_batch: int | None = None,
-                        output_schema: T.StructType | None = None) -> None:
+                        skip_failed: bool = False) -> list[str]:
     """Process what is new in ``source`` and append the results to ``out`` (parquet).
 
     Each micro-batch leaves out keys that ``out`` already holds, so a replayed batch or a
-    second run adds nothing. Rows that ``fn`` drops or marks failed are not in ``out``; see
-    ``retry_open``.
+    second run adds nothing. An error in ``fn`` ends the run, and the next one starts at
+    that batch. With ``skip_failed`` the batch is left out and the run goes on; the errors
+    are returned, and ``retry_open`` processes what is missing in ``out``.
     """
+    errors: list[str] = []
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -29,11 +31,17 @@ def incremental_process(spark: SparkSession, source: str, out: str, checkpoint:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         todo = remaining(batch.dropDuplicates([key]), _existing(batch.sparkSession, out), key)
-        fn(todo).write.mode("append").parquet(out)
+        try:
+            fn(todo).write.mode("append").parquet(out)
+        except Exception as e:
+            if not skip_failed:
+                raise
+            errors.append(f"batch {batch_id}: {e}")
 
     query = (reader.parquet(source).writeStream.foreachBatch(write)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
+    return errors
 
 
 def retry_open(spark: SparkSession, source: DataFrame, out: str, key: str,
