@@ -39,14 +39,16 @@ def norm(v: Column | str) -> Column:
 def l2_normalize(v: Column | str) -> Column:
     """Unit vector; a zero vector stays zero."""
     v = _doubles(v)
-    length = norm(v)
-    return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    # The length is bound to a lambda variable; written inside the inner lambda it would be
+    # computed again for every element.
+    scaled = F.transform(F.array(norm(v)), lambda length: F.transform(
+        v, lambda x: F.when(length > 0, x / length).otherwise(0.0)))
+    return F.element_at(scaled, 1)
 
 
 def cosine_similarity(a: Column | str, b: Column | str) -> Column:
     """Cosine; 0 when either vector is zero."""
-    product = norm(a) * norm(b)
-    return F.when(product > 0, dot(a, b) / product).otherwise(0.0)
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:

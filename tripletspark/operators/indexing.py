@@ -104,7 +104,7 @@ def mark_sample(df: DataFrame, id_col: str, *, n: int | None = None,
 
 
 ROWS_PER_CHUNK = 100_000
-MAX_CHUNKS = 1024
+MAX_CHUNKS = 4096
 
 
 def _as_number(df: DataFrame, col: str) -> Column:
@@ -120,13 +120,13 @@ def order_chunks(df: DataFrame, order_col: str, chunks: int | None = None,
                  out: str = "_chunk") -> DataFrame:
     """Cut the value range of ``order_col`` into chunks of about equal row counts.
 
-    The cut points come from one approximate-quantile aggregate (at most 1,023 numbers on
+    The cut points come from one approximate-quantile aggregate (at most 4,095 numbers on
     the driver). They only balance the work; later ranks are exact for any cut points.
     """
     number = _as_number(df, order_col)
     shares = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
     seen = df.agg(F.count(F.lit(1)).alias("n"),
-                  F.percentile_approx(number, shares, 20_000).alias("q")).first()
+                  F.percentile_approx(number, shares, 50_000).alias("q")).first()
     if chunks is None:
         chunks = -(-seen.n // ROWS_PER_CHUNK)
     chunks = max(1, min(chunks, MAX_CHUNKS))
