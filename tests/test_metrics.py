@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripletspark.operators import metrics as mt
 from tripletspark.operators import triplets as tr
+from tripletspark.operators.quality import drop_legacy
 
 
 def test_similarity_stats_known(spark):
@@ -180,4 +181,4 @@ def test_edits_and_legacy(spark):
     assert sorted(map(tuple, tr.apply_edits(base, edits, "id", ["x", "y"], "at").collect())) == [
         (1, "A2", "b"), (2, "c", "d")]
     legacy = base.withColumn("random_negative", F.lit("z"))
-    assert tr.drop_legacy(legacy).columns == ["id", "x", "y"]
+    assert drop_legacy(legacy).columns == ["id", "x", "y"]

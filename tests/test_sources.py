@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -116,9 +117,20 @@ def test_cache(spark, tmp_path):
 def test_synthetic(spark):
     rows = synthetic.generate_triplets(spark, 25).collect()
     assert len({r.code_id for r in rows}) == 25
-    by_id = {r.code_id: r for r in rows}
-    assert by_id["synthetic_3"].code_snippet == by_id["synthetic_13"].code_snippet
     assert len({r.code_snippet for r in rows}) == 10
+    assert sorted(Counter(r.code_snippet for r in rows).values()) == [2] * 5 + [3] * 5
+    assert all(r.conceptual_feedback != r.hard_negative_feedback for r in rows)
+    again = {r.code_id for r in synthetic.generate_triplets(spark, 25).collect()}
+    assert again == {r.code_id for r in rows}
+
+
+def test_done_rows_of_an_output_file(spark, tmp_path):
+    path = str(tmp_path / "out.jsonl")
+    assert files.scan_done(spark, path, "code_id") is None
+    with open(path, "w") as f:
+        f.write('{"code_id": "a", "x": 1}\n\n{"x": 2}\n{bad\n{"code_id": "b"}\n')
+    assert sorted(r.code_id for r in files.scan_done(spark, path, "code_id").collect()) == [
+        "a", "b"]
 
 
 def test_stages(spark, tmp_path):

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tripletspark.functions.vectors import sanitize_vectors
 from tripletspark.operators.indexing import dense_index
 from tripletspark.operators.metrics import similarity_stats
+from tripletspark.operators.quality import drop_legacy
 from tripletspark.operators.sampling import first_offset, random_partners
 from tripletspark.operators.similarity import (
     DECIMALS, all_blocks, best_k, block_of, join_blocks, to_matrix, to_unit,
@@ -207,7 +208,8 @@ def hybrid_negative_ids(df: DataFrame, total: int = 5, hard: int = 2, lo: float
 def hybrid_negatives(df: DataFrame, text_col: str, total: int = 5, hard: int = 2,
                      lo: float = 0.2, hi: float = 0.4, seed: int = 42, *,
                      id_col: str = "id", vec: str = "embedding", **options) -> DataFrame:
-    """Attach ``negative_feedbacks`` (hard first) and ``negatives_metadata``."""
+    """Attach ``negative_feedbacks`` (hard first) and ``negatives_metadata``; the old
+    single-negative columns go."""
     ids = hybrid_negative_ids(df, total, hard, lo, hi, seed, id_col=id_col, vec=vec, **options)
     texts = df.select(F.col(id_col).alias("neg_id"), F.col(text_col).alias("_text"))
     hard_first = F.when(F.col("kind") == "hard", 0).otherwise(1)
@@ -217,7 +219,8 @@ def hybrid_negatives(df: DataFrame, text_col: str, total: int = 5, hard: int = 2
                   F.count_if(F.col("kind") == "hard").cast("int").alias("_h")))
     found = F.coalesce(F.size("_l"), F.lit(0))
     n_hard = F.coalesce("_h", F.lit(0))
-    return (df.join(lists, id_col, "left")
+    rows = drop_legacy(df.drop("negative_feedbacks", "negatives_metadata"))
+    return (rows.join(lists, id_col, "left")
             .withColumn("negative_feedbacks", F.coalesce(
                 F.transform("_l", lambda s: s["_text"]), F.array().cast("array<string>")))
             .withColumn("negatives_metadata", F.struct(

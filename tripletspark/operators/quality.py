@@ -14,6 +14,15 @@ from tripletspark.functions.text import clean_whitespace, is_blank
 from tripletspark.session import broadcast_if_small, cut_lineage
 
 
+# Columns of the old single-negative format.
+LEGACY_COLUMNS = ("hard_negative_feedback", "hard_negative_similarity",
+                  "hard_negative_source_id", "random_negative")
+
+
+def drop_legacy(df: DataFrame) -> DataFrame:
+    return df.drop(*LEGACY_COLUMNS)
+
+
 def is_filled(df: DataFrame, name: str) -> Column:
     """True when the field is present and neither null, '', 0, False, [] nor {}."""
     if name not in df.columns:

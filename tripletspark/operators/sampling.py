@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripletspark.operators.indexing import count_of, dense_index, hash_key, mark_sample
+from tripletspark.operators.quality import drop_legacy
 
 TOP_N_ON_DRIVER = 10_000
 
@@ -64,8 +65,9 @@ def random_partners(ids: DataFrame, id_col: str, k: int, seed: int = 42) -> Data
 
 
 def random_negatives(df: DataFrame, id_col: str, text_col: str, k: int,
-                     seed: int = 42) -> DataFrame:
-    """Attach ``negatives``: the texts of k random other rows. Texts travel once, last."""
+                     seed: int = 42, out: str = "negatives") -> DataFrame:
+    """Attach the texts of k random other rows and drop the old single-negative columns.
+    Texts travel once, last."""
     if k < 1:
         raise ValueError("k must be at least 1")
     pairs = random_partners(df, id_col, k, seed)
@@ -73,6 +75,6 @@ def random_negatives(df: DataFrame, id_col: str, text_col: str, k: int,
     lists = (pairs.join(texts, "neg_id")
              .groupBy(id_col)
              .agg(F.array_sort(F.collect_list(F.struct("pos", "_text"))).alias("_l"))
-             .select(id_col, F.transform("_l", lambda s: s["_text"]).alias("negatives")))
-    return (df.join(lists, id_col, "left")
-            .withColumn("negatives", F.coalesce("negatives", F.array().cast("array<string>"))))
+             .select(id_col, F.transform("_l", lambda s: s["_text"]).alias(out)))
+    return (drop_legacy(df.drop(out)).join(lists, id_col, "left")
+            .withColumn(out, F.coalesce(out, F.array().cast("array<string>"))))

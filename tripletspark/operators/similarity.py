@@ -26,8 +26,7 @@ from tripletspark.session import cut_lineage
 BLOCK_ROWS = 2048
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
-SCAN_ROWS = 2048
-SCAN_SCORES = 4 << 20  # scores held at a time while a task scans the corpus
+SCAN_SCORES = 4 << 20  # cosines held at a time while a task scans rows
 DECIMALS = 6  # similarities are compared and reported at this precision
 _HALF_STEP = 1e-6  # rounding moves a value, and its rival, by half of this
 
@@ -202,7 +201,7 @@ def _hits(q: np.ndarray, d: np.ndarray, s: np.ndarray, schema: T.StructType) ->
 # Cells: rows are grouped by their nearest pivot (a sampled corpus row). With the largest
 # angle between a cell's rows and its pivot, the triangle inequality bounds the cosine of a
 # query to every row of the cell, so whole cells are left out without losing a result.
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 4096
 _SLACK = 1e-5  # on cosines, far above rounding at six decimals
 
 
@@ -228,15 +227,16 @@ def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
                            T.StructField("angle", T.DoubleType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(64, SCAN_SCORES // len(sent.value))
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cos = to_unit(to_matrix(batch.column(1))) @ sent.value.T
-            cell = cos.argmax(axis=1)
-            angle = np.arccos(np.clip(cos[np.arange(len(cell)), cell], -1.0, 1.0))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)],
-                names=schema.names)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                cos = to_unit(to_matrix(part.column(1))) @ sent.value.T
+                cell = cos.argmax(axis=1)
+                angle = np.arccos(np.clip(cos[np.arange(len(cell)), cell], -1.0, 1.0))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(cell.astype(np.int32)), pa.array(angle)],
+                    names=schema.names)
 
     return df.mapInArrow(place, schema)
 
@@ -296,9 +296,10 @@ def route(queries: DataFrame, cells: Cells, wanted: Callable) -> DataFrame:
     at_v, at_floor = queries.columns.index("v"), queries.columns.index("floor")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(64, SCAN_SCORES // len(sent.value.blocks))
         for batch in batches:
-            for at in range(0, batch.num_rows, SCAN_ROWS):
-                part = batch.slice(at, SCAN_ROWS)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 low, high = sent.value.bounds(to_unit(to_matrix(part.column(at_v))))
                 floor = part.column(at_floor).to_numpy(zero_copy_only=False)
                 keep = wanted(low, high, floor[:, None])

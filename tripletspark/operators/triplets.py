@@ -13,10 +13,6 @@ from tripletspark.operators.metrics import value_counts
 from tripletspark.operators.sampling import sample_n
 from tripletspark.session import broadcast_if_small, cut_lineage
 
-LEGACY_COLUMNS = ("hard_negative_feedback", "hard_negative_similarity",
-                  "hard_negative_source_id", "random_negative", "llm_negative_feedback")
-
-
 def _maybe(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
@@ -46,10 +42,6 @@ def resolve_fields(df: DataFrame, order_col: str | None = None) -> tuple[DataFra
             out.filter(~known).withColumn("reason", F.lit("no text, feedback or code field")))
 
 
-def drop_legacy(df: DataFrame) -> DataFrame:
-    return df.drop(*LEGACY_COLUMNS)
-
-
 def explode_triplets(df: DataFrame, id_col: str = "id", anchor: str = "anchor",
                      positive: str = "positive", negatives: str = "negatives") -> DataFrame:
     """(id, n_negatives, neg_pos, anchor, positive, negative): one row per negative."""

@@ -312,7 +312,7 @@ def b11_parse_judgement(spark: SparkSession, sf: str) -> DataFrame:
 def b12_drop_legacy(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).select("doc_id", "lang", F.col("source").alias("random_negative"),
                                F.col("text").alias("hard_negative_feedback"))
-    return triplets.drop_legacy(d)
+    return quality.drop_legacy(d)
 
 
 @query

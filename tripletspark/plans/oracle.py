@@ -215,8 +215,14 @@ ORACLE: dict[str, str] = {
         "({}, '{}', '{}', '{}')".format(i, *[x.replace("'", "''") for x in row])
         for i, row in enumerate(PATTERNS)) + """) t(i, code_snippet, conceptual_feedback,
         hard_negative_feedback))
-        SELECT 'synthetic_' || doc_id AS code_id, code_snippet, conceptual_feedback,
-        hard_negative_feedback FROM documents JOIN p ON p.i = doc_id % 10""",
+        """ + f"""SELECT {_uuid5("'code/' || doc_id")} AS code_id,
+        {_uuid5("'author/' || doc_id")} AS author_id, code_snippet,
+        conceptual_feedback AS generated_feedback, conceptual_feedback AS refined_feedback,
+        hard_negative_feedback AS negative_feedback, conceptual_feedback,
+        hard_negative_feedback, 0.3::DOUBLE AS hard_negative_similarity,
+        {_uuid5("'source/' || doc_id")} AS hard_negative_source_id,
+        hard_negative_feedback AS llm_negative_feedback
+        FROM documents JOIN p ON p.i = doc_id % 10""",
 
     "b1_split_header": rf"""
         WITH c AS (SELECT doc_id, 'start' AS variant, chr(10) || '/* ' || source || ' */' ||

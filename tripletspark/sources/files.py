@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,3 +76,13 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | str,
             F.concat(F.lit("malformed line: "), F.substring("value", 1, 200)))
             .cast(wide)).otherwise(F.col("_r")))
     return parsed.select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema]), rejected
+
+
+def scan_done(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """Keys an output file of JSON lines already holds; blank, malformed and keyless lines
+    do not count. None when there is no output yet."""
+    try:
+        good, _ = scan_jsonl(spark, path, f"{key} string", "skip_bad")
+    except AnalysisException:
+        return None
+    return good.filter(F.col(key).isNotNull()).select(key)

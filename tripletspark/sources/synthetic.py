@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripletspark.functions.text import pseudonymize
+
 # Fixed values: (code, feedback that fits, feedback that does not).
 PATTERNS = (
     ("for (i = 0; i <= n; i++) s += a[i];", "The loop reads one element too many.",
@@ -30,14 +32,24 @@ PATTERNS = (
 
 
 def triplets_for(df: DataFrame, i: Column | str) -> DataFrame:
-    """One triplet per row, pattern number ``i % 10``."""
+    """One triplet per row, pattern number ``i % 10``; ids are a function of ``i``."""
     i = F.col(i) if isinstance(i, str) else i
     table = F.array(*[F.struct(
-        F.lit(c).alias("code_snippet"), F.lit(p).alias("conceptual_feedback"),
-        F.lit(n).alias("hard_negative_feedback")) for c, p, n in PATTERNS])
+        F.lit(c).alias("code"), F.lit(p).alias("fit"), F.lit(n).alias("unfit"))
+        for c, p, n in PATTERNS])
     picked = F.element_at(table, (F.pmod(i, F.lit(len(PATTERNS))) + 1).cast("int"))
-    return df.select(F.concat(F.lit("synthetic_"), i.cast("string")).alias("code_id"),
-                     picked.alias("_t")).select("code_id", "_t.*")
+
+    def uid(kind: str) -> Column:
+        return pseudonymize(F.concat(F.lit(f"{kind}/"), F.col("i").cast("string")))
+
+    code, fit, unfit = F.col("t.code"), F.col("t.fit"), F.col("t.unfit")
+    return df.select(i.alias("i"), picked.alias("t")).select(
+        uid("code").alias("code_id"), uid("author").alias("author_id"),
+        code.alias("code_snippet"), fit.alias("generated_feedback"),
+        fit.alias("refined_feedback"), unfit.alias("negative_feedback"),
+        fit.alias("conceptual_feedback"), unfit.alias("hard_negative_feedback"),
+        F.lit(0.3).alias("hard_negative_similarity"),
+        uid("source").alias("hard_negative_source_id"), unfit.alias("llm_negative_feedback"))
 
 
 def generate_triplets(spark: SparkSession, n: int) -> DataFrame:
