@@ -124,15 +124,16 @@ def order_chunks(df: DataFrame, order_col: str, chunks: int | None = None,
     the driver). They only balance the work; later ranks are exact for any cut points.
     """
     number = _as_number(df, order_col)
-    shares = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
-    seen = df.agg(F.count(F.lit(1)).alias("n"),
-                  F.percentile_approx(number, shares, 50_000).alias("q")).first()
-    if chunks is None:
-        chunks = -(-seen.n // ROWS_PER_CHUNK)
-    chunks = max(1, min(chunks, MAX_CHUNKS))
-    points = sorted({seen.q[i * MAX_CHUNKS // chunks - 1] for i in range(1, chunks)}) \
-        if seen.q else []
     # Rows without a value come first, as in a sort.
+    single = F.when(number.isNull(), -1).otherwise(0).cast("long")
+    if chunks is None:
+        chunks = -(-df.count() // ROWS_PER_CHUNK)
+    chunks = min(chunks, MAX_CHUNKS)
+    if chunks < 2:
+        return df.withColumn(out, single)
+    shares = [i / chunks for i in range(1, chunks)]
+    seen = df.agg(F.percentile_approx(number, shares, 10 * chunks).alias("q")).first().q
+    points = sorted(set(seen or []))
     if not points:
         return df.withColumn(out, F.when(number.isNull(), -1).otherwise(0).cast("long"))
     splits = [float("-inf"), *points, float("inf")]
