@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripletspark.operators import quality as q
+from tripletspark.session import broadcast_if_small
 
 
 def ids(df, c="id"):
@@ -62,6 +63,25 @@ def test_dedup_hot_text_and_partitions(spark):
         assert q.dedup(df.repartition(parts), "t", "first", "id").count() == 601
 
 
+def test_dedup_without_broadcast(spark, monkeypatch):
+    """The way beyond the broadcast bound gives the same rows, also for a hot text."""
+    df = spark.range(600).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        (F.col("id") % 50).cast("string")).alias("t"))
+    want = {k: ids(q.dedup(df, "t", k, "id")) for k in ("first", "last", False)}
+    monkeypatch.setattr(q, "broadcast_if_small", lambda d: d.hint("shuffle_merge"))
+    assert {k: ids(q.dedup(df, "t", k, "id")) for k in want} == want
+    plan = q.dedup(df, "t", "first", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
+def test_small_sides_are_counted_before_a_broadcast(spark):
+    small = broadcast_if_small(spark.range(5), 5)
+    large = broadcast_if_small(spark.range(6), 5)
+    assert "ResolvedHint (strategy=broadcast)" in \
+        small._jdf.queryExecution().analyzed().toString()
+    assert "Hint" not in large._jdf.queryExecution().analyzed().toString()
+
+
 def test_merge_collections(spark):
     old = spark.createDataFrame([(5, "a"), (6, "b")], "id int, t string")
     new = spark.createDataFrame([(1, "a", "x"), (2, "c", "x"), (3, "c", "x")],

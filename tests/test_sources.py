@@ -51,6 +51,8 @@ def test_jsonl_modes(spark, tmp_path):
     assert [(r.a, r.b) for r in good.collect()] == [(1, "x"), (2, None)]
     with pytest.raises(Exception, match="malformed"):
         files.scan_jsonl(spark, path, "a int, b string", "strict")[0].collect()
+    with pytest.raises(Exception, match="malformed"):
+        files.scan_jsonl(spark, path, "a int, b string", "strict")[0].count()
     with open(path, "a") as f:
         f.write("{oops\n")
     with pytest.raises(Exception, match="malformed"):
