@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripletspark.llm.packing import pack
 from tripletspark.llm.pii import pii_report
 from tripletspark.llm.quality import quality_rules
 from tripletspark.llm.tables import read
@@ -29,3 +30,9 @@ def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Quality counts and verdict of every document."""
     return quality_rules(read(spark, sf, "documents"))
+
+
+@query
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return pack(read(spark, sf, "documents"))
