@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tripletspark.llm.packing import pack
 from tripletspark.llm.pii import pii_report
 from tripletspark.llm.quality import quality_rules
+from tripletspark.llm.simhash import near_duplicates
 from tripletspark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,10 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return pack(read(spark, sf, "documents"))
+
+
+@query
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return near_duplicates(read(spark, sf, "documents")).select(
+        "doc_id", "fingerprint", "component_id")
