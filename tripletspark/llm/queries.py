@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripletspark.llm.chat import format_turns, planted, read_back
 from tripletspark.llm.packing import pack
 from tripletspark.llm.pii import pii_report
 from tripletspark.llm.quality import quality_rules
+from tripletspark.llm.secrets import scan_secrets
 from tripletspark.llm.simhash import near_duplicates
 from tripletspark.llm.tables import read
+from tripletspark.llm.urls import RULES, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +47,22 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(read(spark, sf, "documents")).select(
         "doc_id", "fingerprint", "component_id")
+
+
+@query
+def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document."""
+    return scan_secrets(read(spark, sf, "documents"))
+
+
+@query
+def op2_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations formatted, then read back from their ids and masks."""
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_turns(turns.unionByName(planted(spark))))
+
+
+@query
+def op3_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule and verdict of every page's address."""
+    return judge_urls(read(spark, sf, "pages"), RULES)
