@@ -13,6 +13,7 @@ from tripletspark.llm.quality import quality_rules
 from tripletspark.llm.secrets import scan_secrets
 from tripletspark.llm.simhash import near_duplicates
 from tripletspark.llm.tables import read
+from tripletspark.llm.toxicity import toxicity
 from tripletspark.llm.urls import RULES, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,9 @@ def op2_chat(spark: SparkSession, sf: str) -> DataFrame:
 def op3_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Rule and verdict of every page's address."""
     return judge_urls(read(spark, sf, "pages"), RULES)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
