@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripletspark.llm.chat import format_turns, planted, read_back
+from tripletspark.llm.decontaminate import contaminated
 from tripletspark.llm.packing import pack
 from tripletspark.llm.pii import pii_report
 from tripletspark.llm.quality import quality_rules
@@ -73,3 +74,9 @@ def op3_urls(spark: SparkSession, sf: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    return contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
