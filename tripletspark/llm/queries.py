@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripletspark.llm.chat import format_turns, planted, read_back
 from tripletspark.llm.decontaminate import contaminated
+from tripletspark.llm.lines import line_classes
 from tripletspark.llm.packing import pack
 from tripletspark.llm.pii import pii_report
 from tripletspark.llm.quality import quality_rules
@@ -80,3 +81,9 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold benchmark items, with the items."""
     return contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Class, links and fate of every line of every document."""
+    return line_classes(read(spark, sf, "documents")).drop("digest")
