@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletspark.llm.tables import texts
+from tripletspark.llm.tables import Whole, texts
 
 NGRAM = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -272,8 +272,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """``docs`` without the documents that hold an item."""
     bad = contaminated(docs, benchmark, **options).select(
         F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest")).distinct()
-    own = docs.select(F.struct(*docs.columns).alias("_row"))
-    on = F.col("_row.doc_id").cast("long").eqNullSafe(bad["_doc_id"]) & (
-        F.xxhash64(F.coalesce("_row.text", F.lit(""))) == bad["_digest"])
-    kept = own.join(bad, on, "left_anti")
-    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    whole = Whole(docs)
+    on = whole.doc_id.eqNullSafe(bad["_doc_id"]) & (whole.digest == bad["_digest"])
+    return whole.back(whole.df.join(bad, on, "left_anti"))

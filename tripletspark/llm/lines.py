@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletspark.llm.components import components
-from tripletspark.llm.tables import texts
+from tripletspark.llm.tables import Whole, texts
 from tripletspark.session import cut_lineage
 
 EDITS = 2
@@ -360,17 +360,8 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MI
         .where(F.col("lost") > 0)
         .select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest"), "all", "lost",
                 "removed"))
-    own = docs.select(F.struct(*docs.columns).alias("_row"))
-    text = F.coalesce("_row.text", F.lit(""))
-    on = F.col("_row.doc_id").cast("long").eqNullSafe(cut["_doc_id"]) & (
-        F.xxhash64(text) == cut["_digest"])
-    kept = own.join(cut, on, "left").where(
+    whole = Whole(docs)
+    on = whole.doc_id.eqNullSafe(cut["_doc_id"]) & (whole.digest == cut["_digest"])
+    kept = whole.df.join(cut, on, "left").where(
         F.col("lost").isNull() | (F.col("all") - F.col("lost") >= min_left * F.col("all")))
-    kept = kept.select("_row", "removed", F.split(text, "\n", -1).alias("_lines"))
-    rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("removed"))
-    parts = F.col("_lines")
-    new = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(
-        F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n"))
-    kept = kept.select("_row", new.alias("_text"))
-    cols = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return kept.select(*[cols.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return whole.without_lines(kept, "removed")

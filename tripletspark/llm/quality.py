@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripletspark.llm.tables import SPACE, SPACE_CHARS, texts, words
+from tripletspark.llm.tables import SPACE, SPACE_CHARS, Whole, fixed, texts, words
 from tripletspark.session import broadcast_if_small, cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -27,31 +27,30 @@ def text_counts(df: DataFrame, *keep: str) -> DataFrame:
     Equal three-word windows are found by a 64-bit hash within one text: only texts with a
     repeated hash sort theirs; each flagged window then adds the words it newly covers.
     """
-    text = F.col("text")
+    text, keep = F.col("text"), list(keep)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_HAS_WORD))
-    df = df.select(*keep, words(text).alias("_words"), lines.alias("_lines"),
-                   _without(text, SPACE_CHARS).cast("long").alias("word_chars"),
-                   (F.char_length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"))
+    df = fixed(df, keep, _words=words(text), _lines=lines,
+               word_chars=_without(text, SPACE_CHARS).cast("long"),
+               n_symbols=(F.char_length(text) - _without(text, SYMBOLS)).cast("long"))
     w, n = F.col("_words"), F.size("_words")
     windows = F.when(n >= 3, F.transform(
         F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1),
                                                           F.get(w, i + 2))))
-    counts = [*keep, "word_chars", "n_symbols", "n_words", "n_dup_lines"]
-    df = df.select(*keep, "word_chars", "n_symbols", n.cast("long").alias("n_words"),
-                   (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
-                   .alias("n_dup_lines"), windows.alias("_h"))
+    unique_lines = F.size(F.array_distinct("_lines"))
+    df = fixed(df, [*keep, "word_chars", "n_symbols"], n_words=n.cast("long"),
+               n_dup_lines=(F.size("_lines") - unique_lines).cast("long"), _h=windows)
+    keep += ["word_chars", "n_symbols", "n_words", "n_dup_lines"]
     ranked = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.select(*counts, F.when(F.size(F.array_distinct("_h")) < F.size("_h"), ranked)
-                   .alias("_z"))
+    df = fixed(df, keep, _z=F.when(F.size(F.array_distinct("_h")) < F.size("_h"), ranked))
     z = F.col("_z")
     places = F.transform(z, lambda x, i: F.when(
         (F.get(z, i - 1)["h"] == x["h"]) | (F.get(z, i + 1)["h"] == x["h"]), x["i"]))
-    df = df.select(*counts, F.sort_array(F.filter(places, lambda x: x.isNotNull())).alias("_p"))
+    flagged = F.sort_array(F.filter(places, lambda x: x.isNotNull()))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate("_p", start, lambda a, p: F.struct(
+    covered = F.aggregate(flagged, start, lambda a, p: F.struct(
         p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
         lambda a: a["n"])
-    return df.select(*counts, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return fixed(df, keep, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long"))
 
 
 def document_lines(df: DataFrame) -> DataFrame:
@@ -126,20 +125,13 @@ def apply_quality(docs: DataFrame, host: str = "source", max_docs: int = 50,
     are cut out of the text, n_chars (if there) follows it."""
     df = texts(docs, F.col(host).alias("host"))
     gone = removed_lines(df, max_docs, max_share)
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id",
-                      F.coalesce("text", F.lit("")).alias("text"))
-    own = text_counts(own.withColumn("digest", F.xxhash64("text")), "_row", "doc_id", "digest")
+    whole = Whole(docs)
+    own = whole.df.select("*", whole.doc_id.alias("doc_id"), whole.text.alias("text"),
+                          whole.digest.alias("digest"))
+    own = text_counts(own, *whole.names, "doc_id", "digest")
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    own = own.where(~failed)
     left = F.col("word_chars") - F.coalesce("lost", F.lit(0))
-    kept = (own.join(gone, _same_document(own, gone), "left")
-            .where(left >= min_left * F.col("word_chars"))
-            .select("_row", "removed", F.split("_row.text", "\n", -1).alias("_lines")))
-    rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("removed"))
-    lines = F.col("_lines")
-    cut = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(
-        F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
-    kept = kept.select("_row", cut.alias("_text"))
-    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return kept.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    kept = own.join(gone, _same_document(own, gone), "left").where(
+        F.when(failed, F.lit(False)).otherwise(left >= min_left * F.col("word_chars")))
+    return whole.without_lines(kept, "removed")

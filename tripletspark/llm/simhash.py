@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletspark.llm.components import components
-from tripletspark.llm.tables import texts
+from tripletspark.llm.tables import Whole, texts
 from tripletspark.session import cut_lineage
 
 SEGMENTS = 8
@@ -250,9 +250,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, bits: int = 5) -> Data
     stay = marked.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("x")).select(
         F.col("x.doc_id").alias("_doc_id"), F.col("x.digest").alias("_digest"))
-    own = docs.select(F.struct(*docs.columns).alias("_row"),
-                      F.col("doc_id").cast("long").alias("_doc_id"),
-                      F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest"))
-    on = own["_doc_id"].eqNullSafe(stay["_doc_id"]) & (own["_digest"] == stay["_digest"])
-    kept = own.join(stay, on, "left_semi").dropDuplicates(["_doc_id", "_digest"])
-    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    whole = Whole(docs)
+    own = whole.df.withColumn("_own", whole.digest).withColumn("_id", whole.doc_id)
+    on = own["_id"].eqNullSafe(stay["_doc_id"]) & (own["_own"] == stay["_digest"])
+    return whole.back(own.join(stay, on, "left_semi").dropDuplicates(["_id", "_own"]))
