@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items come in blocks of bounded size; the documents are scanned twice for each block, and
-never shuffled. The first scan counts the documents that hold each n-gram of the items. The
-rarest n-grams of each item are its seeds, however frequent they are, so an item that leaked
-into many documents keeps its seeds. The second scan looks the seeds up, cuts the stretch of
+never shuffled. The first scan counts the documents that hold each n-gram of the items. N-grams
+that are rare, for their item, are its seeds: an item that leaked into many documents keeps its
+seeds, however frequent they are. The second scan looks the seeds up, cuts the stretch of
 text around them and aligns it with the item, word by word.
 
 Words of many texts are hashed together in numpy, straight from their bytes.
@@ -151,17 +151,20 @@ class Index:
         self.hash, self.item = h, np.searchsorted(bounds, at, "right") - 1
         self.place = at - bounds[self.item]
 
-    def choose(self, counts: dict[int, int], keys: np.ndarray, share: float, least: int) -> None:
-        """Keep each item's rarest n-grams as seeds: ``share`` of them, ``least`` at least."""
+    def choose(self, counts: dict[int, int], keys: np.ndarray, plain: int, factor: int) -> None:
+        """Keep as seeds the n-grams that are rare for their item: in at most ``plain``
+        documents, or in at most ``factor`` times as many as the item's median n-gram that
+        occurs at all. An item's own spread raises that median with it."""
         n = np.zeros(len(keys), np.int64)
         for key, count in counts.items():
             n[key] = count
         number = n[np.searchsorted(keys, self.hash)]
-        order = np.lexsort((self.place, number, self.item))
-        item = self.item[order]
-        first = np.searchsorted(item, item)
-        total = np.bincount(item, minlength=len(self.ids))[item]
-        keep = order[np.arange(len(order)) - first < np.maximum(least, np.ceil(share * total))]
+        seen = np.flatnonzero(number)
+        limit = np.full(len(self.ids), plain)
+        order = seen[np.lexsort((number[seen], self.item[seen]))]
+        item, first, total = np.unique(self.item[order], return_index=True, return_counts=True)
+        limit[item] = np.maximum(plain, factor * number[order[first + total // 2]])
+        keep = seen[number[seen] <= limit[self.item[seen]]]
         keep = keep[np.argsort(self.hash[keep], kind="stable")]
         self.hash, self.item, self.place = self.hash[keep], self.item[keep], self.place[keep]
         self.keys, self.at = np.unique(self.hash, return_index=True)
@@ -233,7 +236,7 @@ def _scan(docs: DataFrame, index: Index, floor: float, least: int, slack: int) -
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, floor: float = 0.5, least: int = 8,
-                 share: float = 0.5, seeds: int = 8, slack: int = 8,
+                 plain: int = 100, factor: int = 4, slack: int = 8,
                  block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, digest (of the text), item_id, score, end_word: one row for each document row and
     item that align with a score of ``floor`` of an exact copy's, over ``least`` matched words
@@ -258,7 +261,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, floor: float = 0.5, leas
         keys = np.unique(index.hash)
         if not len(keys):
             continue
-        index.choose(document_counts(rows, keys), keys, share, seeds)
+        index.choose(document_counts(rows, keys), keys, plain, factor)
+        if not len(index.keys):
+            continue
         found = _scan(rows, index, floor, least, slack)
         out = found if out is None else out.union(found)
     if out is None:

@@ -37,14 +37,19 @@ _DIGIT = re.compile("[0-9]")
 SENSITIVE = re.compile(
     r"passw|secret|token|api.?key|auth|bearer|credential|private|access.?key|signature|"
     r"connection.?string|client.?id|session|cookie|login", re.I | re.ASCII)
-#: What code around secrets says anyway; the dictionary begins with it.
-COMMON = ("password passwd secret token api_key apikey access_key private_key client_secret "
-          "authorization bearer credentials username user host port database connection string "
-          "config export const public private static final return import from class def self "
-          "function var let null true false none begin rsa end certificate https://www. http:// "
+#: What code around secrets says anyway, and the words that names are made of; the dictionary
+#: begins with them.
+COMMON = ("this is my the and for with not from into have will your our new old long short name "
+          "names identifier value number index list file path test user users id type data set get "
+          "key keys public module project package version example document documentation about "
+          "service server client request response message error manager handler factory builder "
+          "password passwd secret token api_key apikey access_key private_key client_secret "
+          "authorization bearer credentials username host port database connection string config "
+          "export const public private static final return import class def self function var let "
+          "null true false none begin rsa end certificate https://www. http:// .com .org com. org. "
           ".example.com localhost 127.0.0.1 sha256 base64 utf-8 content-type application/json "
           "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 aaaaaaaa "
-          "xxxxxxxx ........ -------- ======== ________")
+          "xxxxxxxx ........ -------- ======== ________ _the_ _is_ _of_ _and_ _to_ _name_ _id_ _key_")
 
 
 def identifier_names(docs: DataFrame, most: int = 2000) -> list[str]:
@@ -61,11 +66,11 @@ def identifier_names(docs: DataFrame, most: int = 2000) -> list[str]:
 class Novelty:
     """Marginal compressed bytes against a dictionary and the surrounding text."""
 
-    def __init__(self, names: list[str], level: int = 3):
+    def __init__(self, names: list[str], level: int = 19):
         primed = zstandard.ZstdCompressionDict((" ".join(names) + " " + COMMON).encode(),
                                                dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.pack = zstandard.ZstdCompressor(level=level, dict_data=primed,
-                                             write_content_size=False).compress
+        primed.precompute_compress(level=level)
+        self.pack = zstandard.ZstdCompressor(dict_data=primed, write_content_size=False).compress
 
     def __call__(self, around: str, candidate: str) -> float:
         """Marginal bytes per byte of the candidate."""
@@ -108,7 +113,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_secrets(docs: DataFrame, floor: float = 0.6, reach: int = 256,
+def scan_secrets(docs: DataFrame, floor: float = 0.85, reach: int = 256,
                  names: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and
     spans (``kind:start:end`` by start, then kind; code points, end exclusive).

@@ -15,7 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +60,16 @@ def fitting_rule(sites: DataFrame, rules: DataFrame) -> DataFrame:
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """word, n over all texts, markup left out; counted in each batch before the shuffle."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             seen: Counter[str] = Counter()
-            for text in frame[column]:
+            for text in batch.column(0).to_pylist():
                 seen.update(_WORD.findall(_TAG.sub(" ", text).lower()))
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()),
+                                              pa.array(list(seen.values()), pa.int64())],
+                                             names=["word", "n"])
     return (texts.select(F.coalesce(column, F.lit("")).alias(column))
-            .mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+            .mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
@@ -81,7 +83,7 @@ def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
         for start in range(max(0, end - LONGEST_WORD), end):
             word = label[start:end]
             n = counts.get(word, 0)
-            p = math.log(n / total) if n else math.log(10 / total) - len(word) * math.log(10)
+            p = math.log(n / total) if n else -math.log(total) - len(word) * math.log(10)
             options.append((best[start] + p, start))
         score, start = max(options)
         best.append(score)
@@ -105,12 +107,16 @@ def segment_labels(labels: DataFrame, counts: DataFrame) -> DataFrame:
     known = pieces.join(counts, "word").groupBy("label").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["words"] = [viterbi(label, dict(own or {}), total)
-                              for label, own in zip(frame["label"], frame["known"], strict=True)]
-            yield frame[["label", "words"]]
-    return labels.join(known, "label", "left").mapInPandas(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column("label").to_pylist()
+            split = [viterbi(label, dict(own or []), total)
+                     for label, own in zip(labels, batch.column("known").to_pylist(),
+                                           strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(labels, pa.string()), pa.array(split, pa.list_(pa.string()))],
+                names=["label", "words"])
+    return labels.join(known, "label", "left").select("label", "known").mapInArrow(
         run, "label string, words array<string>")
 
 
