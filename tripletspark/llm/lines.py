@@ -29,7 +29,8 @@ from tripletspark.llm.tables import Whole, texts
 from tripletspark.session import cut_lineage
 
 EDITS = 2
-MIN_CHARS = 16
+#: Shorter lines are left alone; those below NEAR_CHARS meet equal lines only.
+MIN_CHARS, NEAR_CHARS = 16, 48
 GROUP = 1000
 PAIRS = 4096
 #: A task skips lines that it has just seen.
@@ -192,99 +193,114 @@ def line_texts(docs: DataFrame, ids: DataFrame, min_chars: int) -> DataFrame:
             .groupBy("line").agg(F.min("norm").alias("norm")))
 
 
-class Group:
-    """The lines under one key: verified pairs as spanning links and counts."""
-
-    def __init__(self, key: int, rows: pd.DataFrame, edits: int):
-        self.key, self.edits = key, edits
-        rows = rows.sort_values("norm", ignore_index=True)
-        self.ids = rows["line"].tolist()
+def _pairs(sizes: np.ndarray, indexed: np.ndarray, blocks: np.ndarray, edits: int
+           ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group's rows that may be within ``edits`` edits, a row at a time. Blocks of a
+    split group meet each other only where the group was dealt to both."""
+    n = len(sizes)
+    split = blocks.min() != blocks.max()
+    for i in range(n - 1):
+        fits = (np.abs(sizes[i + 1:] - sizes[i]) <= edits) & (indexed[i + 1:] | indexed[i])
+        if split:
+            fits &= blocks[i + 1:] != blocks[i]
+        j = i + 1 + np.flatnonzero(fits)
+        yield np.full(len(j), i), j
+
+
+class Verifier:
+    """Groups of lines, verified many pairs at once: spanning links of each group, and counts in
+    which a pair counts under its smallest common key only."""
+
+    def __init__(self, edits: int):
+        self.edits = edits
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
+        self.waiting = 0
+
+    def over(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Results of whole groups (rows sorted by group and key): (line, line, 0) for links,
+        (line, number, 1) for counts."""
+        self.keys, self.ids = rows["key"].to_numpy(), rows["line"].to_numpy()
         self.lines = rows["norm"].tolist()
-        self.indexed = rows["indexed"].to_numpy(bool)
-        self.blocks = rows["block"].to_numpy()
-        self.codes = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in self.lines]
-        self.sizes = np.array([len(c) for c in self.codes])
-        self.keys: dict[int, tuple[frozenset[int], frozenset[int]]] = {}
-
-    def shared_first(self, i: int, j: int) -> bool:
-        """True if no smaller key brings the two lines together, so each pair counts once."""
+        self.root = np.arange(len(rows))
+        self.cached: dict[int, tuple[set[int], set[int]]] = {}
+        self.links: list[tuple[int, int]] = []
+        self.counts = np.zeros(len(rows), np.int64)
+        group = rows["group"].to_numpy()
+        sizes = rows["norm"].str.len().to_numpy()
+        indexed, blocks = rows["indexed"].to_numpy(bool), rows["block"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (self.keys[1:] != self.keys[:-1])
+                                      | (group[1:] != group[:-1])])
+        for s, e in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
+            for i, j in _pairs(sizes[s:e], indexed[s:e], blocks[s:e], self.edits):
+                self.left.append(s + i)
+                self.right.append(s + j)
+                self.waiting += len(i)
+                if self.waiting >= PAIRS:
+                    self.check(sizes)
+        self.check(sizes)
+        own = np.flatnonzero(self.counts)
+        links = np.array(self.links, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": np.r_[self.ids[links[:, 0]], self.ids[own]],
+                             "b": np.r_[self.ids[links[:, 1]], self.counts[own]],
+                             "kind": np.r_[np.zeros(len(links), int), np.ones(len(own), int)]})
+
+    def check(self, sizes: np.ndarray) -> None:
+        if not self.waiting:
+            return
+        left, right = np.concatenate(self.left), np.concatenate(self.right)
+        self.left, self.right, self.waiting = [], [], 0
+        order = np.argsort(sizes[left], kind="stable")  # alike lengths run together
+        for at in range(0, len(order), PAIRS):
+            part = order[at:at + PAIRS]
+            rows = np.unique(np.r_[left[part], right[part]])
+            codes = {i: np.frombuffer(self.lines[i].encode("utf-32-le"), np.uint32) for i in rows}
+            held = within([codes[i] for i in left[part]], [codes[i] for i in right[part]],
+                          self.edits)
+            for k in part[held]:
+                self.take(int(left[k]), int(right[k]))
+
+    def take(self, i: int, j: int) -> None:
         for k in (i, j):
-            if k not in self.keys:
+            if k not in self.cached:
                 index, probes = line_keys(self.lines[k], self.edits)
-                self.keys[k] = frozenset(index), frozenset(index + probes)
-        (ia, pa_), (ib, pb) = self.keys[i], self.keys[j]
-        return min((ia & pb) | (ib & pa_)) == self.key
-
-    def verified(self) -> Iterator[tuple[int, int]]:
-        n = len(self.ids)
-        left, right = [], []
-        split = self.blocks.min() != self.blocks.max()
-        for i in range(n - 1):
-            j = np.arange(i + 1, n)
-            fits = (np.abs(self.sizes[j] - self.sizes[i]) <= self.edits) & (
-                self.indexed[j] | self.indexed[i])
-            if split:  # pairs within a block meet elsewhere
-                fits &= self.blocks[j] != self.blocks[i]
-            j = j[fits]
-            left += [i] * len(j)
-            right += j.tolist()
-            while len(left) >= PAIRS:
-                yield from self._check(left[:PAIRS], right[:PAIRS])
-                left, right = left[PAIRS:], right[PAIRS:]
-        if left:
-            yield from self._check(left, right)
-
-    def _check(self, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
-        held = within([self.codes[i] for i in left], [self.codes[j] for j in right], self.edits)
-        for k in np.flatnonzero(held):
-            yield left[k], right[k]
-
-    def result(self) -> Iterator[tuple[int, int, int]]:
-        """(line, line, 0) for spanning links, (line, number, 1) for counts."""
-        root = list(range(len(self.ids)))
-        counts: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-        for i, j in self.verified():
-            if self.shared_first(i, j):
-                counts[i] = counts.get(i, 0) + 1
-                counts[j] = counts.get(j, 0) + 1
-            if (a := find(i)) != (b := find(j)):
-                root[a] = b
-                yield self.ids[i], self.ids[j], 0
-        for i, n in counts.items():
-            yield self.ids[i], n, 1
+                self.cached[k] = set(index), set(index + probes)
+        (ia, all_a), (ib, all_b) = self.cached[i], self.cached[j]
+        if min((ia & all_b) | (ib & all_a)) == self.keys[i]:
+            self.counts[i] += 1
+            self.counts[j] += 1
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.root[a] = b
+            self.links.append((i, j))
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
 
 def _verify(edits: int):
-    """Over rows sorted by (group, key): results of each group, one in memory at a time."""
+    """Over rows sorted by (group, key), a batch and the rest of its last group at a time."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def close(rows: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for (_, key), own in rows.groupby(["group", "key"], sort=False):
-                out += Group(int(key), own, edits).result()
-            return pd.DataFrame(out, columns=["a", "b", "kind"])
+        verifier, held = Verifier(edits), None
         for frame in frames:
             if not len(frame):
                 continue
-            rows = pd.concat([*held, frame], ignore_index=True)
+            rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
             last = rows.iloc[-1]
             tail = ((rows["group"] == last["group"]) & (rows["key"] == last["key"])).to_numpy()
-            held = [rows[tail]]
+            held = rows[tail]
             if not tail.all():
-                yield close(rows[~tail])
-        if held:
-            yield close(held[0])
+                yield verifier.over(rows[~tail])
+        if held is not None:
+            yield verifier.over(held)
     return run
 
 
-def edit_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def edit_links(docs: DataFrame, edits: int = EDITS, min_chars: int = NEAR_CHARS) -> DataFrame:
     """a, b, kind: links between different lines within ``edits`` edits that join all that such
     links join (kind 0), and (line, number of its links, partial sums) (kind 1). ``docs``:
     doc_id, text, digest."""
@@ -306,7 +322,9 @@ def edit_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(
         own, other) * F.col("blocks") + F.greatest(own, other))
     rows = rows.select("key", "line", "indexed", "norm", "block", F.explode(pairs).alias("group"))
-    return (rows.repartition("key", "group").sortWithinPartitions("group", "key")
+    # Much work in few bytes: the number is given, so that it isn't coalesced.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(parts, "key", "group").sortWithinPartitions("group", "key")
             .mapInPandas(_verify(edits), "a long, b long, kind int"))
 
 
@@ -314,19 +332,20 @@ def _first() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "pos")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
+                 near_chars: int = NEAR_CHARS) -> DataFrame:
     """One row per line that has a word: doc_id, digest, pos, chars, class_doc and class_pos (the
     first line of its class by doc_id, digest, pos), n_links (to different lines) and kept.
 
     A class is what equality and links join. Lines below ``min_chars`` characters are left alone
-    (class null, kept). Repeated rows with the same doc_id and text count as one document; null
+    (class null, kept), those below ``near_chars`` join equal lines only. Repeated rows with the same doc_id and text count as one document; null
     doc_ids come last. Null and empty texts have no lines.
     """
     own = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                              F.xxhash64("text").alias("digest"))
     seen = cut_lineage(occurrences(own, min_chars))
     first = seen.where(F.col("line").isNotNull()).groupBy("line").agg(F.min(_first()).alias("first"))
-    found = cut_lineage(edit_links(own, edits, min_chars))
+    found = cut_lineage(edit_links(own, edits, max(near_chars, min_chars)))
     roots = components(found.where(F.col("kind") == 0))
     counts = (found.where(F.col("kind") == 1).groupBy(F.col("a").alias("node"))
               .agg(F.sum("b").alias("n_links")))
@@ -347,12 +366,11 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
                       F.coalesce(is_first, F.lit(True)).alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
-                        min_left: float = 0.3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_left: float = 0.3, **options) -> DataFrame:
     """``docs`` without the lines that aren't the first of their class; n_chars (if there)
     follows the text. A document of whose characters less than ``min_left`` are left is taken
     for a copy and goes; one without any words stays."""
-    lines = line_classes(docs, edits, min_chars)
+    lines = line_classes(docs, **options)
     gone = F.col("kept") == F.lit(False)
     cut = (lines.groupBy("doc_id", "digest").agg(
         F.sum("chars").alias("all"), F.sum(F.when(gone, F.col("chars")).otherwise(0)).alias("lost"),
