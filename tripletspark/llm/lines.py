@@ -363,7 +363,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
                 & (F.col("digest") == F.col("best.digest")) & (F.col("pos") == F.col("best.pos")))
     return out.select("doc_id", "digest", "pos", "chars", F.col("best.doc_id").alias("class_doc"),
                       F.col("best.pos").alias("class_pos"), "n_links",
-                      F.coalesce(is_first, F.lit(True)).alias("kept"))
+                      F.when(F.col("best").isNull(), F.lit(True)).otherwise(is_first)
+                      .alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_left: float = 0.3, **options) -> DataFrame:
