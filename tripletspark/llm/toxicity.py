@@ -292,20 +292,26 @@ def held_out(doc_id) -> object:
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 4000,
                   max_chars: int = 20_000) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled texts, half of them toxic where there are so many, picked
-    by a hash of the doc_id, none of them held out; texts over ``max_chars`` aren't sampled,
-    so the driver holds max_rows * max_chars characters at most."""
+    """Texts and labels of at most ``max_rows`` labelled doc_ids, half of them toxic where there
+    are so many, picked by a hash of the doc_id, none of them held out. Texts over ``max_chars``
+    aren't sampled, so the driver holds max_rows * max_chars characters at most.
+
+    The ids are picked from the narrow table of labels; their texts then come from one scan, and
+    no text is shuffled but theirs."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
                          & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = (texts(docs).where(F.length("text") <= max_chars)
-            .join(known, "doc_id").select("doc_id", "text", "toxic"))
-    out = []
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max("toxic").alias("toxic"))
+    ids: list[tuple[int, int]] = []
     for y in (1, 0):
-        picked = (rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-                  .limit(max_rows // 2 if y else max_rows - len(out)))
-        out += [(r["text"], y) for r in picked.collect()]
-    return out
+        picked = (known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id")
+                  .limit(max_rows // 2 if y else max_rows - len(ids)))
+        ids += [(r["doc_id"], y) for r in picked.select("doc_id").collect()]
+    chosen = docs.sparkSession.createDataFrame(ids, "id long, toxic int")
+    rows = (texts(docs).where(F.length("text") <= max_chars)
+            .join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+            .groupBy("id", "toxic").agg(F.min("text").alias("text")))
+    return [(r["text"], r["toxic"]) for r in rows.orderBy("id").collect()]
 
 
 @functools.lru_cache(maxsize=2)
