@@ -21,7 +21,8 @@ def brute(m, n, lo, hi, strict=True, seed=42):
     out = set()
     for i in range(size):
         others = [j for j in range(size) if j != i]
-        step = {j: ((a[j] - a[i] - 1) % size - (a[i] * 48271 + seed) % (size - 1)) % (size - 1)
+        mark = hashlib.md5(f"{seed}:walk:{a[i]}".encode()).hexdigest()[:12]
+        step = {j: ((a[j] - a[i] - 1) % size - int(mark, 16) % (size - 1)) % (size - 1)
                 for j in others}
         r = sorted((j for j in others if lo <= s[i, j] <= hi), key=lambda j: step[j])
         v = sorted((j for j in others if s[i, j] >= 0 and not lo <= s[i, j] <= hi),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -44,12 +45,19 @@ def split_header(c: Column | str, pattern: str = C_HEADER) -> tuple[Column, Colu
     return header, body
 
 
+#: Scheme and host of a path, as in file:/a, file:///a, hdfs://host:8020/a.
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)"
+
+
 def parse_path(path: Column | str, root: str) -> Column:
     """Struct (author, cohort, site) from the first directory below ``root``.
 
-    The directory name is dash-separated; any missing part makes all three 'ERROR'.
+    The directory name is dash-separated; any missing part makes all three 'ERROR'. Scheme and
+    host of either side don't count, so the root given to a scan fits the paths it returns.
     """
-    inside = F.regexp_replace(_col(path), "^" + _quote(root.rstrip("/")) + "/*", "")
+    bare = F.regexp_replace(_col(path), _SCHEME, "")
+    root = re.sub(_SCHEME, "", root).rstrip("/")
+    inside = F.regexp_replace(bare, "^" + _quote(root) + "/*", "")
     first = F.when(F.instr(inside, "/") > 0, F.substring_index(inside, "/", 1)).otherwise("")
     parts = F.split(first, "-")
     after = F.try_element_at(F.split(first, "cpoolday"), F.lit(2))

@@ -215,7 +215,7 @@ def embed_default(df: DataFrame, text_col: str, *, dims: int = 256,
                   out: str = "embedding") -> DataFrame:
     """Encoder without a model: hashed words, inverse document frequency, unit length.
     Runs in the JVM on whole texts."""
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+",
+    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+",
                            toLowercase=True)
     counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims)
     idf = IDF(inputCol="_tf", outputCol="_idf")

@@ -31,13 +31,17 @@ def train_val_split(df: DataFrame, id_col: str, test: float = 0.1,
             marked.filter("in_sample").drop("in_sample"))
 
 
-# Multipliers of the arithmetic draws (primes), shared with the SQL twins.
-MIX_A, MIX_B, MIX_C, MIX_D = 48271, 69621, 16807, 40692
+def hashed(modulus: Column, *parts: Column | int | str) -> Column:
+    """A number below ``modulus`` from the md5 of ``parts`` (48 bits of it)."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string")
+                              for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % modulus
 
 
 def first_offset(idx: Column, n: Column, seed: int) -> Column:
-    """Where row ``idx`` starts in its cyclic walk over the other n - 1 rows."""
-    return (idx * MIX_A + seed) % F.greatest(n - 1, F.lit(1))
+    """Where row ``idx`` starts in its cyclic walk over the other n - 1 rows: anywhere, at any
+    table size, since it is a hash of the row."""
+    return hashed(F.greatest(n - 1, F.lit(1)), seed, "walk", idx)
 
 
 def partner(idx: Column, n: Column, step: Column, seed: int) -> Column:

@@ -34,7 +34,10 @@ _HALF_STEP = 1e-6  # rounding moves a value, and its rival, by half of this
 # ---------------------------------------------------------------- helpers inside tasks
 
 def to_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """List column -> float64 matrix. All vectors must have one length."""
+    """List column -> float64 matrix, NaN and infinities as 0. All vectors must have one length.
+
+    Every search and statistic reads its vectors here, so one bad element can't spoil a bound
+    or another row's result."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(arr, pa.ChunkedArray):
         arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], column.type)
@@ -44,7 +47,7 @@ def to_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = np.asarray(arr.flatten(), dtype=np.float64)
     if arr.null_count or flat.size % n:
         raise ValueError("vectors must not be null and must share one length")
-    return flat.reshape(n, -1)
+    return np.nan_to_num(flat, nan=0.0, posinf=0.0, neginf=0.0).reshape(n, -1)
 
 
 def to_unit(m: np.ndarray) -> np.ndarray:

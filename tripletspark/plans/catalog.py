@@ -22,7 +22,7 @@ from tripletspark.session import scratch_path
 from tripletspark.sources import files, sinks, synthetic
 from tripletspark.sources.cache import EmbeddingCache
 from tripletspark.streaming.incremental import incremental_process
-from tripletspark.streaming.live import live_monitor
+from tripletspark.streaming.live import live_monitor, store_windows, stored_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -944,10 +944,9 @@ def k2_live_monitor(spark: SparkSession, sf: str) -> DataFrame:
     out, point = scratch_path(spark, "live"), scratch_path(spark, "progress")
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    (live_monitor(stream, "ts", "value", width="1 day", lateness="1 hour")
-     .writeStream.format("parquet").option("path", out).option("checkpointLocation", point)
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
-    done = spark.read.parquet(out)
+    store_windows(live_monitor(stream, "ts", "value", width="1 day", lateness="1 hour"), out,
+                  point)
+    done = stored_windows(spark, out)
     return rounded(done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "mean",
                                "min", "max"))
 

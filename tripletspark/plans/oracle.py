@@ -30,14 +30,19 @@ def _uuid5(expr: str) -> str:
         FROM (SELECT sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({expr})) AS h))"""
 
 
+def _hashed(text: str, modulus: str) -> str:
+    """A number below ``modulus`` from the first 48 bits of an md5."""
+    return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT % {modulus})"
+
+
 def _walk(table: str, key: str, k: int) -> str:
     """CTEs ix(key, a), n, drawn(key, pos, neg_id): the first k rows of each row's walk,
     found by comparing every pair of rows."""
     return f"""
     ix AS (SELECT {key}, {_index(table, key)} AS a, count(*) OVER () AS n FROM {table}),
     walk AS (SELECT x.{key}, y.{key} AS neg_id,
-        ((y.a - x.a - 1 + x.n) % x.n - (x.a * 48271 + 42) % (x.n - 1) + x.n - 1) % (x.n - 1)
-            AS pos
+        ((y.a - x.a - 1 + x.n) % x.n - {_hashed("'42:walk:' || x.a", "(x.n - 1)")} + x.n - 1)
+            % (x.n - 1) AS pos
         FROM ix x JOIN ix y ON x.a <> y.a),
     drawn AS (SELECT * FROM walk WHERE pos < {k})"""
 
@@ -106,21 +111,22 @@ PAIRSPACE = f"""
     pg AS (SELECT *, coalesce(sum(n_pairs) OVER (ORDER BY md5(label::VARCHAR), label
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_pair,
         (sum(n_pairs) OVER ())::BIGINT AS all_pairs FROM sizes),
-    stride AS (SELECT greatest(max(all_pairs) // (SELECT count(*) FROM embeddings), 1) AS s,
-        (SELECT count(*) FROM embeddings) AS wanted, max(all_pairs) AS total FROM pg),
+    stride AS (SELECT least(max(all_pairs), (SELECT count(*) FROM embeddings)) AS wanted,
+        max(all_pairs) AS total FROM pg),
     numbered AS (SELECT x.label, least(x.vec_id, y.vec_id) AS id_a,
         greatest(x.vec_id, y.vec_id) AS id_b,
         pg.first_pair + x.m * (x.m - 1) // 2 + y.m AS p
         FROM mem x JOIN mem y ON x.label = y.label AND y.m < x.m
         JOIN pg ON pg.label = x.label),
-    pos_pairs AS (SELECT p // s AS pair_no, label, id_a, id_b FROM numbered, stride
-        WHERE p % s = 0 AND p // s < wanted)"""
+    asked AS (SELECT k AS pair_no, k * total // wanted AS p FROM stride,
+        (SELECT unnest(range((SELECT wanted FROM stride))) AS k)),
+    pos_pairs AS (SELECT pair_no, label, id_a, id_b FROM numbered JOIN asked USING (p))"""
 
 NEGPAIRS = f"""
     ixl AS (SELECT vec_id, label, {_index("embeddings", "vec_id")} AS i FROM embeddings),
     cnt AS (SELECT count(*) AS n FROM embeddings),
-    tries AS (SELECT t.pair_no, u.u, (t.pair_no * 48271 + u.u * 69621 + 42) % n AS a,
-        (t.pair_no * 16807 + u.u * 40692 + 42) % greatest(n - 1, 1) AS off, n
+    tries AS (SELECT t.pair_no, u.u, {_hashed("'42:a:' || t.pair_no || ':' || u.u", "n")} AS a,
+        {_hashed("'42:b:' || t.pair_no || ':' || u.u", "greatest(n - 1, 1)")} AS off, n
         FROM cnt, (SELECT unnest(range((SELECT wanted FROM slots))) AS pair_no) t,
         (SELECT unnest(range(10)) AS u) u),
     neg_pairs AS (SELECT pair_no, x.vec_id AS id_a, y.vec_id AS id_b FROM tries
@@ -645,9 +651,7 @@ ORACLE: dict[str, str] = {
     "k2_live_monitor": """
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n,
             round(avg(value), 10) AS mean, min(value) AS min, max(value) AS max FROM events
-        GROUP BY date_trunc('day', ts)
-        HAVING date_trunc('day', ts) + INTERVAL 1 DAY
-            <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+        GROUP BY date_trunc('day', ts)""",
     "l1_apply_chain": """SELECT conv_id, turn, md5(text || '!') AS draft_md5,
         md5(role || '>' || role || '>' || text || '!!!') AS refined_md5,
         'ok' AS status FROM (SELECT conv_id, turn, text, role FROM conversations)""",

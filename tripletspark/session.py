@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests on one machine) gets a folder of its own.
+    Only a session on one machine may go without that setting, and gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tripletspark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

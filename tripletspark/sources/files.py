@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripletspark.functions.text import C_HEADER, parse_path, split_header
+from tripletspark.functions.text import C_HEADER, is_blank, parse_path, split_header
 from tripletspark.operators.quality import drop_blank, reject_unparsed
 
 CORRUPT = "_corrupt_record"
@@ -61,7 +61,7 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | str,
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     lines = spark.read.text(path)
-    blank = F.trim("value") == ""
+    blank = is_blank("value")
     if mode != "strict":
         lines = lines.filter(~blank)
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
