@@ -32,7 +32,8 @@ EDITS = 2
 #: Shorter lines are left alone; those below NEAR_CHARS meet equal lines only.
 MIN_CHARS, NEAR_CHARS = 16, 48
 GROUP = 1000
-PAIRS = 4096
+#: Pairs verified together, and the characters that they may have together.
+PAIRS, CELLS = 4096, 1 << 21
 #: A task skips lines that it has just seen.
 RECENT = 100_000
 
@@ -251,8 +252,12 @@ class Verifier:
         left, right = np.concatenate(self.left), np.concatenate(self.right)
         self.left, self.right, self.waiting = [], [], 0
         order = np.argsort(sizes[left], kind="stable")  # alike lengths run together
-        for at in range(0, len(order), PAIRS):
+        at = 0
+        while at < len(order):
             part = order[at:at + PAIRS]
+            while len(part) > 1 and len(part) * sizes[left[part[-1]]] > CELLS:
+                part = part[:len(part) // 2]
+            at += len(part)
             rows = np.unique(np.r_[left[part], right[part]])
             codes = {i: np.frombuffer(self.lines[i].encode("utf-32-le"), np.uint32) for i in rows}
             held = within([codes[i] for i in left[part]], [codes[i] for i in right[part]],
