@@ -35,11 +35,11 @@ SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "nati
 #: Words that speak for a kind when they stand nearby.
 CONTEXT = {
     "email": "mail|contact|write",
-    "ip": "\\bip\\b|address|server|host|client",
+    "ip": "(?:^|[^a-z])ip(?:[^a-z]|$)|address|server|host|client",
     "card": "card|visa|credit|payment|master",
-    "phone": "phone|call|tel\\b|mobile|fax",
+    "phone": "phone|call|(?:^|[^a-z])tel(?:[^a-z]|$)|mobile|fax",
     "iban": "iban|bank|account|transfer",
-    "national": "\\bdni\\b|\\bnif\\b|passport|identi",
+    "national": "(?:^|[^a-z])(?:dni|nif)(?:[^a-z]|$)|passport|identi",
 }
 #: Words that speak against any kind.
 AGAINST = "example only|sample|dummy|version|placeholder"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tripletspark.llm.chat import format_turns, planted, read_back
 from tripletspark.llm.decontaminate import contaminated
 from tripletspark.llm.lines import line_classes
+from tripletspark.llm.oracle import ORACLE
 from tripletspark.llm.packing import pack
 from tripletspark.llm.pii import pii_report
 from tripletspark.llm.quality import quality_rules
@@ -18,8 +19,9 @@ from tripletspark.llm.tables import read
 from tripletspark.llm.toxicity import toxicity
 from tripletspark.llm.urls import RULES, judge_urls
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -62,7 +64,7 @@ def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
 def op2_chat(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations formatted, then read back from their ids and masks."""
     turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return read_back(format_turns(turns.unionByName(planted(spark))))
+    return read_back(format_turns(turns.unionByName(planted(spark)))).drop("n_tokens")
 
 
 @query
