@@ -31,6 +31,8 @@ HIDDEN, INPUT = 8, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 13
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.7
+#: Share of words that a training step leaves out, against learning single texts by heart.
+DROPPED = 0.05
 _TOKEN = re.compile(r"\w+")
 
 
@@ -66,8 +68,8 @@ def new_weights(seed: int = 7) -> dict[str, np.ndarray]:
     def normal(*shape: int) -> np.ndarray:
         return rng.normal(0, shape[-2] ** -0.5 if len(shape) > 1 else 1, shape).astype(np.float32)
     h = HIDDEN
-    out = {"word": normal(WORD_ROWS, INPUT) * np.sqrt(WORD_ROWS).astype(np.float32) * 0.1,
-           "char": normal(CHAR_ROWS, INPUT) * np.sqrt(CHAR_ROWS).astype(np.float32) * 0.3,
+    out = {"word": normal(WORD_ROWS, INPUT) * np.float32(np.sqrt(WORD_ROWS) * 0.02),
+           "char": normal(CHAR_ROWS, INPUT) * np.float32(np.sqrt(CHAR_ROWS) * 0.05),
            "att": normal(2 * h, 1)[:, 0], "out": normal(2 * h, 1)[:, 0],
            "bias": np.array([-2.0], np.float32)}
     for d in ("f", "b"):  # input, recurrent and bias weights of the update, reset, new gates
@@ -248,9 +250,11 @@ def _step(p: dict, windows: list[list[str]], y: np.ndarray) -> dict[str, np.ndar
     return g
 
 
-def train(docs: list[str], y: list[int], epochs: int = 4, batch: int = 64, rate: float = 0.015,
+def train(docs: list[str], y: list[int], steps: int = 260, batch: int = 64, rate: float = 0.015,
           seed: int = 7) -> dict[str, np.ndarray]:
-    """Adam on the highest window of every text; texts of one class only give that class."""
+    """Adam on the highest window of every text, over all texts four times or more often until
+    ``steps`` steps are done; texts of one class only give that class."""
+    epochs = max(4, -(-steps * batch // len(docs)))
     p = new_weights(seed)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(x) for k, x in p.items()}
@@ -267,7 +271,8 @@ def train(docs: list[str], y: list[int], epochs: int = 4, batch: int = 64, rate:
                 top = start[rank[np.flatnonzero(np.r_[True, np.diff(owner[rank]) > 0])]]
             else:
                 top = [rng.choice(window_starts(len(split[k]))) for k in chosen]
-            own = [split[k][s:s + WINDOW] for k, s in zip(chosen, top, strict=True)]
+            own = [[w for w in split[k][s:s + WINDOW] if rng.random() > DROPPED] or [""]
+                   for k, s in zip(chosen, top, strict=True)]
             g = _step(p, own, labels[chosen])
             t += 1
             pace = rate * (1 - (epoch * len(order) + i) / (epochs * len(order)))
