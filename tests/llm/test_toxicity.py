@@ -46,7 +46,8 @@ def test_held_out_accuracy(spark, sf):
     for i in range(600):
         words = [f"w{int(k)}" for k in rng.integers(0, 300, int(rng.integers(5, 300)))]
         if i % 3 == 0:
-            words[int(rng.integers(len(words)))] = insults[int(rng.integers(3))] + "s" * (i % 2)
+            for k in {int(rng.integers(len(words))) for _ in range(1 + len(words) // 30)}:
+                words[k] = insults[int(rng.integers(3))] + "s" * (i % 2)  # as dense as given ones
         rows.append((i, " ".join(words), "a"))
     rows += [(9000, None, "a"), (9001, "", "a"), (None, "zorgface", None), (9002, "é" * 90_000, "a"),
              (9003, "zorgface " * 5000, "a"), (9003, "zorgface " * 5000, "a")]
