@@ -114,3 +114,17 @@ def test_keys_meet_in_one_count(spark):
                                "doc_id long, text string")
     rows = ln.line_classes(df.withColumn("key", F.lit(1))).collect()
     assert {(r.doc_id, r.n_links, r.class_doc) for r in rows} == {(1, 2, 1), (2, 2, 1), (3, 2, 1)}
+
+
+def test_short_lines_have_a_class_and_links(spark):
+    """By default every line has an exact class, and the edit join takes lines of 16 characters."""
+    df = spark.createDataFrame(
+        [(1, "are is anwh reenen.\n}\nabc"), (2, "are, is anwh reenen.\n}\nabd")],
+        "doc_id long, text string")
+    got = {(r.doc_id, r.pos): (r.class_doc, r.class_pos, r.n_links, r.kept)
+           for r in ln.line_classes(df).collect()}
+    assert got == {(1, 0): (1, 0, 1, True), (2, 0): (1, 0, 1, False),
+                   (1, 1): (1, 1, 0, True), (2, 1): (1, 1, 0, False),
+                   (1, 2): (1, 2, 0, True), (2, 2): (2, 2, 0, True)}
+    left = {r.doc_id: r.text for r in ln.drop_repeated_lines(df, min_left=0.0).collect()}
+    assert left == {1: "are is anwh reenen.\n}\nabc", 2: "}\nabd"}

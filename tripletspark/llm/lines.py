@@ -29,8 +29,10 @@ from tripletspark.llm.tables import Whole, texts
 from tripletspark.session import cut_lineage
 
 EDITS = 2
-#: Shorter lines are left alone; those below NEAR_CHARS meet equal lines only.
-MIN_CHARS, NEAR_CHARS = 16, 48
+#: Lines of MIN_CHARS have a class, those below NEAR_CHARS meet equal lines only.
+MIN_CHARS, NEAR_CHARS = 1, 16
+#: Shorter lines stay in a cleaned text, even if another text has them.
+DROP_CHARS = 16
 GROUP = 1000
 #: Pairs verified together, and the characters that they may have together.
 PAIRS, CELLS = 4096, 1 << 21
@@ -343,8 +345,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     first line of its class by doc_id, digest, pos), n_links (to different lines) and kept.
 
     A class is what equality and links join. Lines below ``min_chars`` characters are left alone
-    (class null, kept), those below ``near_chars`` join equal lines only. Repeated rows with the same doc_id and text count as one document; null
-    doc_ids come last. Null and empty texts have no lines.
+    (class null, kept), those below ``near_chars`` join equal lines only. Repeated rows with the
+    same doc_id and text count as one document; null doc_ids come last. Null and empty texts have
+    no lines.
     """
     own = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                              F.xxhash64("text").alias("digest"))
@@ -372,11 +375,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
                       .alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_left: float = 0.3, **options) -> DataFrame:
-    """``docs`` without the lines that aren't the first of their class; n_chars (if there)
-    follows the text. A document of whose characters less than ``min_left`` are left is taken
-    for a copy and goes; one without any words stays."""
-    lines = line_classes(docs, **options)
+def drop_repeated_lines(docs: DataFrame, min_left: float = 0.3, min_chars: int = DROP_CHARS,
+                        **options) -> DataFrame:
+    """``docs`` without the lines of ``min_chars`` characters that aren't the first of their
+    class; n_chars (if there) follows the text. A document of whose characters less than
+    ``min_left`` are left is taken for a copy and goes; one without any words stays."""
+    lines = line_classes(docs, min_chars=min_chars, **options)
     gone = F.col("kept") == F.lit(False)
     cut = (lines.groupBy("doc_id", "digest").agg(
         F.sum("chars").alias("all"), F.sum(F.when(gone, F.col("chars")).otherwise(0)).alias("lost"),
