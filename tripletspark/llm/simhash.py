@@ -243,10 +243,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame
         "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, bits: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest doc_id, of repeated
-    rows any one."""
-    marked = near_duplicates(docs, width, bits)
+def keep_first(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``docs`` with one document of each root in ``marked`` (doc_id, digest, root)."""
     stay = marked.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("x")).select(
         F.col("x.doc_id").alias("_doc_id"), F.col("x.digest").alias("_digest"))
@@ -254,3 +252,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, bits: int = 5) -> Data
     own = whole.df.withColumn("_own", whole.digest).withColumn("_id", whole.doc_id)
     on = own["_id"].eqNullSafe(stay["_doc_id"]) & (own["_own"] == stay["_digest"])
     return whole.back(own.join(stay, on, "left_semi").dropDuplicates(["_id", "_own"]))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, bits: int = 5) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest doc_id, of repeated
+    rows any one."""
+    return keep_first(docs, near_duplicates(docs, width, bits))
