@@ -67,3 +67,14 @@ def test_linear_forms_match_the_plain_ones(spark, kind):
     got = {r.doc_id: [(x.s, x.e) for x in r.x] for r in df.select(
         "doc_id", spans_of(F.col("text"), RULES[kind][0], RULES[kind][1]).alias("x")).collect()}
     assert got == {i: [m.span() for m in re.finditer(plain_form, t)] for i, t in rows}
+
+
+def test_account_numbers_end_at_their_countrys_length(spark):
+    """What follows a number behind a blank is no part of it; so are two numbers in a row."""
+    gb, de, spaced = "GB82WEST12345698765432", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    rows = {f"pay to {gb} Thanks": [gb], f"{spaced} For": [spaced], f"{de} BIC COBADEFF": [de],
+            f"{de} 12 items": [de], f"{de} {gb} {spaced}": [de, gb, spaced], f"{de}1": [],
+            "NO9386011117947 A": ["NO9386011117947"], "DE89370400440532013001 X": []}
+    df = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    got = {r.text: [x.m for x in r.found if x.kind == "iban"] for r in find_pii(df).collect()}
+    assert got == rows

@@ -20,7 +20,19 @@ EMAIL = (f"(?:(?<!{_LOCAL})|\\G){_LOCAL}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++
 IP = "(?:(?<![0-9])|\\G)[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?+[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-IBAN = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Characters of an account number by its country (the registry's fixed lengths).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 33: "LC RU"}
+_COUNTRIES = {n: codes.replace(" ", "|") for n, codes in IBAN_LENGTHS.items()}
+_BY_LENGTH = "|".join(f"(?:{c})[0-9]{{2}}(?:\\x20?+[A-Z0-9]){{{n - 4}}}"
+                      for n, c in _COUNTRIES.items())
+#: A known country's number ends at its length, whatever follows behind a blank; others run on.
+IBAN = (f"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|(?!{'|'.join(_COUNTRIES.values())})"
+        "[A-Z]{2}[0-9]{2}(?:\\x20?+[A-Z0-9]){11,30}+)(?![A-Za-z0-9])")
 NATIONAL = "(?<![A-Za-z0-9])[0-9]{8}[A-Z](?![A-Za-z0-9])"
 
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
