@@ -111,4 +111,44 @@ SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_
     coalesce(string_agg(score::VARCHAR, ',' ORDER BY s, k), '') AS scores
 FROM d LEFT JOIN kept USING (doc_id) GROUP BY doc_id"""
 
-ORACLE = {"op2_chat": CHAT, "op6_pii": PII, "op7_quality_rules": QUALITY}
+#: Every document against every order of the filters.
+AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+    FROM labels GROUP BY doc_id),
+failed AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t)
+        THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+    FROM d LEFT JOIN lab USING (doc_id)),
+sets AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS n_good,
+    count(*) FILTER (toxic) AS n_toxic FROM failed GROUP BY part, f),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letter a, letter b, letter c, letter d, letter e
+    WHERE length(a.x || b.x || c.x || d.x || e.x) = 5
+        AND len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step:step] AS own,
+    filter_order[1:step - 1] AS earlier
+    FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+judged AS (SELECT part, filter_order, step, own, n, n_good, n_toxic, f,
+    contains(f, own) AS hit, length(f) > length(translate(f, earlier, '')) AS gone
+    FROM sets, steps),
+counted AS (SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (f = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n_good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(n_toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost
+    FROM judged GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails,
+    good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted"""
+
+ORACLE = {"op2_chat": CHAT, "op6_pii": PII, "op7_quality_rules": QUALITY,
+          "op11_filter_audit": AUDIT}

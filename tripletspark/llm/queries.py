@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripletspark.llm.audit import filter_audit
 from tripletspark.llm.chat import format_turns, planted, read_back
 from tripletspark.llm.decontaminate import contaminated
 from tripletspark.llm.lines import line_classes
@@ -15,7 +16,9 @@ from tripletspark.llm.pii import pii_report
 from tripletspark.llm.quality import quality_rules
 from tripletspark.llm.secrets import scan_secrets
 from tripletspark.llm.simhash import near_duplicates
+from tripletspark.llm.spelling import spelling_variants
 from tripletspark.llm.tables import read
+from tripletspark.llm.token_files import token_files
 from tripletspark.llm.toxicity import toxicity
 from tripletspark.llm.urls import RULES, judge_urls
 
@@ -89,3 +92,21 @@ def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Class, links and fate of every line of every document."""
     return line_classes(read(spark, sf, "documents")).drop("digest")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Five filters in all orders, by language."""
+    return filter_audit(spark, f"{sf}/documents.parquet", read(spark, sf, "labels"))
+
+
+@query
+def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as token files, read back."""
+    return token_files(read(spark, sf, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents with their more frequent spellings."""
+    return spelling_variants(read(spark, sf, "documents"), spoil=199)
