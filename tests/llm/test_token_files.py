@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import zlib
 
 import numpy as np
@@ -72,24 +73,47 @@ ODD = ["", None, " ", "\n\t ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>
        "你好 \U0001f600", "don 't \n'm", "\r\n\r a\r", "w" * 30_000, "İIı ﬁ ẞ"]
 
 
-@pytest.mark.parametrize("file_ids", [50, 1 << 23])
-def test_documents(spark, file_ids):
+def test_plain_words_have_the_tokenizers_ids():
+    """Words of Latin letters go through another library: known words, random ones, runs of one
+    letter, joined words, and whatever stands between them."""
+    full = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    coder, rng = tf.TextIds("word_bpe_49k"), random.Random(1)
+    letters = "etaoinshrdlucmfwypvbgkjqxzéèüßñÀÖÿ"
+    words = [w.removesuffix("</w>") for w in full.get_vocab() if w.removesuffix("</w>").isalpha()]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(30_000)]
+    words += [rng.choice(letters) * rng.randint(1, 90) for _ in range(3000)]
+    words += [(rng.choice(words) + rng.choice(words))[:60] for _ in range(30_000)]
+    rng.shuffle(words)
+    for k in range(0, len(words), 500):
+        text = "".join(w + rng.choice([" ", "\n", ", ", "'", "'s ", "7", " -- ", "''", "'LL"])
+                       for w in words[k:k + 500])
+        assert coder.ids(text) == np.array(
+            full.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+
+@pytest.mark.parametrize(("file_ids", "part_docs"), [(50, 4), (1 << 23, 20), (1 << 23, 8192)])
+def test_documents(spark, file_ids, part_docs):
     rows = [(3 * i - 20, t) for i, t in enumerate(ODD * 3)]
     df = spark.createDataFrame([(*r, 1, "p", b"") for r in rows],
                                "doc_id long, text string, n int, path string, ids binary")
-    assert rows_of(tf.token_files(df.repartition(7), file_ids=file_ids)) == expected(rows)
+    assert rows_of(tf.token_files(df.repartition(7), file_ids=file_ids,
+                                  part_docs=part_docs)) == expected(rows)
 
 
-def test_repeated_and_missing_ids(spark):
-    """Ties: null ids first, each of them and every repeated row keeps a place of its own."""
-    rows = [(None, "one two"), (None, "one two"), (4, "b"), (4, "a"), (4, "b")] + [(9, "same")] * 400
+def test_repeated_and_missing_ids(spark, tmp_path):
+    """Null ids first; they and a doc_id that is a third of all rows fill many parts."""
+    rows = [(None, f"none {i % 7}") for i in range(300)] + [(4, "b"), (4, "a"), (4, "b")]
+    rows += [(9, "same")] * 400 + [(100 + i, f"other {i}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got, want = rows_of(tf.token_files(df, file_ids=60)), expected(rows)
-    assert [(r[0], r[1]) for r in got[:2]] == [(None, 0), (None, want[1][1])]
+    tf.write_token_files(df, str(tmp_path / "out"), part_docs=30)
+    got, want = rows_of(tf.read_token_files(spark, str(tmp_path / "out"))), expected(rows)
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
     assert sorted(map(str, [(r[0], *r[2:]) for r in got])) == sorted(
         map(str, [(r[0], *r[2:]) for r in want]))
-    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
-    assert [r[0] for r in got] == [r[0] for r in want]
+    sizes = [r.n for r in spark.read.parquet(str(tmp_path / "out/manifest"))
+             .groupBy("part").agg({"n_docs": "sum"}).toDF("part", "n").collect()]
+    assert max(sizes) < 100 and len(sizes) > 25
 
 
 def test_empty_table(spark):

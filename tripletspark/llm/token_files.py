@@ -7,8 +7,9 @@ high bits are a bit vector in which number i sets bit (high + i). The place of e
 is stored in 4 bytes, so number i is found by looking at a few words of the vector; there is no
 table of 64-bit offsets.
 
-Writing: a scan encodes the texts, a range shuffle by doc_id moves the ids (never the texts), and
-every task writes its files one after the other under a name of its own attempt. The manifest is
+Writing: quantiles of doc_id cut the documents into parts, a scan encodes the texts, a shuffle by
+part moves the ids (never the texts), and every task writes the files of its parts one after the
+other under a name of its own attempt. The manifest is
 written by Spark after that; only files that it lists count, so a task that is repeated or lost
 leaves nothing that is read. Reading starts from the manifest, whose running sums give the ids
 before each file.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -33,8 +35,9 @@ from tripletspark.llm.tables import texts
 from tripletspark.session import scratch_path
 
 TOKENIZER, END_ID = "word_bpe_49k", 2
-#: Ids of one file, and of the documents that a range partition holds on average.
+#: Most ids of a file (one text may have more), documents of a part, and most parts.
 FILE_IDS = 1 << 23
+PART_DOCS, MAX_PARTS = 8192, 20_000
 SAMPLE = 512
 MAGIC = b"TOKENS01"
 #: Magic, bytes an id, documents, ids, documents without a doc_id, smallest doc_id; then of both
@@ -195,69 +198,108 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 # ------------------------------------------------------------------------------ encoding
 
-class ChunkIds(dict):
-    """From a chunk between blanks to its ids as bytes. The tokenizer's words never reach over
-    white space, so a text's ids are its chunks' ids; the cache is emptied at ``limit``."""
+class TextIds:
+    """The ids of a text as bytes, as the tokenizers library gives them.
 
-    def __init__(self, name: str, limit: int = 400_000):
+    Plain texts (ASCII and Latin letters) are cut by the tokenizer's own pattern and merged by
+    tiktoken, which is given the same vocabulary: the mark of a word's end is a byte that no
+    piece holds, and merging it with the last letter comes before all other merges, as the
+    single letters at word ends have the lowest ids. All other texts, and those with very long
+    pieces or what could be a special token, go through tokenizers.
+    """
+
+    def __init__(self, name: str):
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.limit = limit
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = self[chunk] = np.array(ids, f"<u{self.width}").tobytes()
-        return out
+        path = public_tokenizers.path(f"{name}.json")
+        self.full = Tokenizer.from_file(path)
+        self.width = 2 if self.full.get_vocab_size() <= 1 << 16 else 4
+        self.plain = None
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        if parts["model"].get("end_of_word_suffix") == _SUFFIX:
+            self.plain = tiktoken.Encoding(
+                "words", pat_str="[^\x00]+\x00", mergeable_ranks=_ranks(parts["model"]["vocab"]),
+                special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _BLANK.split(text)))
+        found = None
+        if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
+            pieces = _PIECE.findall(text.lower())
+            if not pieces:
+                return b""
+            if max(map(len, pieces)) <= _LONG:
+                found = self.plain("\0".join(pieces) + "\0")
+        if found is None:
+            found = self.full.encode(text, add_special_tokens=False).ids
+        return np.array(found, f"<u{self.width}").tobytes()
+
+
+_SUFFIX = "</w>"
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: The tokenizer's pattern for its pieces, for lower-cased plain texts.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|"
+                    "[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+_LONG = 400
+
+
+def _ranks(vocab: dict[str, int]) -> dict[bytes, int]:
+    """Byte strings and their ids; a word's end is a zero byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    return {bytes(byte[c] for c in t.removesuffix(_SUFFIX))
+            + (b"\0" if t.endswith(_SUFFIX) else b""): i for t, i in vocab.items()}
 
 
-_BLANK = re.compile("[ \n\t]+")
+@functools.cache
+def text_ids(name: str) -> TextIds:
+    """The tokenizer of this Python worker, which serves one task after the other."""
+    return TextIds(name)
 
 
-@functools.cache
-def chunk_ids(name: str) -> ChunkIds:
-    """The cache of this Python worker, which serves one task after the other."""
-    return ChunkIds(name)
+def _part_of(doc_ids: pa.Array, rows: np.ndarray, bounds: np.ndarray, without: int) -> np.ndarray:
+    """The part of each document: ``without`` parts for rows without a doc_id, then one up to
+    each bound. A doc_id that fills several parts is dealt to these by its row."""
+    known = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+    first = np.searchsorted(bounds, known, side="left")
+    span = np.maximum(1, np.searchsorted(bounds, known, side="right") - first)
+    null = doc_ids.is_null().to_numpy(zero_copy_only=False)
+    return np.where(null, rows % max(1, without), without + first + rows % span)
 
 
-def _encode(name: str, end_id: int):
+def _encode(name: str, end_id: int, bounds: np.ndarray, without: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = chunk_ids(name)
-        end = np.array([end_id], f"<u{cache.width}").tobytes()
+        coder = text_ids(name)
+        end = np.array([end_id], f"<u{coder.width}").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [cache.ids(t) + end for t in part.column(1).to_pylist()]
+                doc_ids, text, row = batch.slice(at, 1000).columns
+                ids = [coder.ids(t) + end for t in text.to_pylist()]
+                part = _part_of(doc_ids, row.to_numpy(), bounds, without)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([hashlib.md5(x).digest() for x in ids]),
-                     pa.array([len(x) // cache.width for x in ids], pa.int64()),
-                     pa.array(ids, pa.binary())], names=["doc_id", "tie", "n", "ids"])
+                    [pa.array(part, pa.int64()), doc_ids,
+                     pa.array([hashlib.md5(x).digest() for x in ids]), pa.array(ids, pa.binary())],
+                    names=["part", "doc_id", "tie", "ids"])
     return run
 
 
 def _write_files(name: str, folder: str, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = chunk_ids(name).width
-        task = TaskContext.get()
-        part, attempt, number = task.partitionId(), task.taskAttemptId(), 0
+        width, attempt = text_ids(name).width, TaskContext.get().taskAttemptId()
         docs: list[int | None] = []
         ids: list[bytes] = []
-        held = 0
+        held, number, current = 0, 0, None
 
         def flush() -> pa.RecordBatch:
             nonlocal held, number
-            path = f"{folder}/{part:06d}-{number:04d}-{attempt}.tokens"
+            path = f"{folder}/{current:06d}-{number:04d}-{attempt}.tokens"
             data = file_bytes(docs, ids, width)
             fs, at = _place(path)
             with fs.open_output_stream(at) as out:
                 out.write(data)
-            row = [part, number, path, len(docs), held, len(data)]
+            row = [current, number, path, len(docs), held, len(data)]
             docs.clear()
             ids.clear()
             held, number = 0, number + 1
@@ -265,10 +307,13 @@ def _write_files(name: str, folder: str, file_ids: int):
                 [pa.array([x]) for x in row],
                 names=["part", "number", "path", "n_docs", "n_ids", "n_bytes"])
         for batch in batches:
-            for doc_id, n, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids")),
-                                    strict=True):
-                if docs and held + n > file_ids:
+            for part, doc_id, x in zip(*(batch.column(c).to_pylist()
+                                         for c in ("part", "doc_id", "ids")), strict=True):
+                n = len(x) // width
+                if docs and (part != current or held + n > file_ids):
                     yield flush()
+                if part != current:
+                    current, number = part, 0
                 docs.append(doc_id)
                 ids.append(x)
                 held += n
@@ -278,31 +323,36 @@ def _write_files(name: str, folder: str, file_ids: int):
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
-                      end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+                      end_id: int = END_ID, file_ids: int = FILE_IDS,
+                      part_docs: int = PART_DOCS) -> DataFrame:
     """Write the ids of all documents, each with ``end_id`` behind, in ascending doc_id order to
     ``folder``/data, and return the manifest (stored in ``folder``/manifest).
 
-    Null and empty texts hold the end id alone. Null doc_ids come first, rows of one doc_id by
-    the md5 of their ids; repeated rows stand as often as they occur, also a third of all rows
-    (they are cut by their row). A text longer than ``file_ids`` has a file of its own. Other
-    columns stay out. No documents: no files and an empty manifest.
+    Null and empty texts hold the end id alone. Null doc_ids come first; rows of one doc_id lie
+    side by side, those of one part by the md5 of their ids; repeated rows stand as often as they
+    occur. Rows without a doc_id or of one doc_id may be a third of all: they fill as many parts
+    as their number asks for. A text longer than ``file_ids`` has a file of its own. Other columns
+    stay out. No documents: no files and an empty manifest.
     """
     from pyarrow import fs as arrow_fs
     spark = docs.sparkSession
     folder = qualified(spark, folder)
-    staged = f"{folder}/encoded"
-    (texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-     .mapInArrow(_encode(tokenizer, end_id), "doc_id long, tie binary, n long, ids binary")
-     .withColumn("row", F.monotonically_increasing_id())
-     .write.option("compression", "zstd").parquet(staged))
-    encoded = spark.read.parquet(staged)
-    parts = (encoded.agg(F.sum("n")).first()[0] or 0) // file_ids + 1
-    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "tie", "row")]
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                              F.monotonically_increasing_id().alias("row"))
+    seen = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    parts = min(MAX_PARTS, seen.known // part_docs + 1)
+    without = min(MAX_PARTS, -(-(seen.n - seen.known) // part_docs))
+    bounds = rows.agg(F.percentile_approx(
+        "doc_id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts)).first()[0]
+    bounds = np.array(bounds if parts > 1 else [], np.int64)
     fs, at = _place(f"{folder}/data")
     if not isinstance(fs, arrow_fs.S3FileSystem):
         fs.create_dir(at)
-    (encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-     .select("doc_id", "n", "ids")
+    (rows.mapInArrow(_encode(tokenizer, end_id, bounds, without),
+                     "part long, doc_id long, tie binary, ids binary")
+     .repartitionById(parts + without, F.col("part").cast("int"))
+     .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
+     .select("part", "doc_id", "ids")
      .mapInArrow(_write_files(tokenizer, f"{folder}/data", file_ids), MANIFEST)
      .write.parquet(f"{folder}/manifest"))
     return spark.read.parquet(f"{folder}/manifest")
