@@ -124,22 +124,30 @@ def judgement_summary(df: DataFrame, verdicts: Mapping[str, str | Column]) -> Da
     return out
 
 
+def _weighted(condition: Column, weight: str | None) -> Column:
+    """How many rows meet the condition, each counted ``weight`` times."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0)).cast("long")
+
+
 def threshold_metrics(df: DataFrame, distance: str, label: str,
                       thresholds: Sequence[float] = (0.5, 0.7, 0.8),
-                      group_cols: Sequence[str] = ()) -> DataFrame:
+                      group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Predict 1 iff distance < t (strict); accuracy, precision, recall and F1 per t.
 
-    All thresholds are counted in one pass, rows are not multiplied.
+    All thresholds are counted in one pass, rows are not multiplied. ``weight``: how often a row
+    counts, as in a histogram.
     """
     if not thresholds:
         raise ValueError("give at least one threshold")
     d, positive = F.col(distance), F.col(label) == 1
     cells = []
     for i, t in enumerate(thresholds):
-        cells += [F.count_if((d < t) & positive).alias(f"tp{i}"),
-                  F.count_if((d < t) & ~positive).alias(f"fp{i}"),
-                  F.count_if(~(d < t) & positive).alias(f"fn{i}"),
-                  F.count_if(~(d < t) & ~positive).alias(f"tn{i}")]
+        cells += [_weighted((d < t) & positive, weight).alias(f"tp{i}"),
+                  _weighted((d < t) & ~positive, weight).alias(f"fp{i}"),
+                  _weighted(~(d < t) & positive, weight).alias(f"fn{i}"),
+                  _weighted(~(d < t) & ~positive, weight).alias(f"tn{i}")]
     wide = df.groupBy(*group_cols).agg(*cells)
     long = wide.select(*group_cols, F.explode(F.array(*[
         F.struct(F.lit(float(t)).alias("threshold"),
@@ -159,17 +167,18 @@ def threshold_metrics(df: DataFrame, distance: str, label: str,
 
 
 def roc_auc(df: DataFrame, distance: str, label: str,
-            group_cols: Sequence[str] = ()) -> DataFrame:
+            group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Area under the ROC curve of score = 1 - distance, ties counted half; NaN when only
     one class occurs.
 
-    Rows are first counted per score (six decimals), scores then per chunk of a thousandth;
+    ``weight``: how often a row counts. Rows are first counted per score (six decimals), scores then per chunk of a thousandth;
     running counts go inside chunks and over the few thousand chunks.
     """
     group_cols = list(group_cols)
     positive = F.col(label) == 1
     per_score = (df.groupBy(*group_cols, F.round(1.0 - F.col(distance), 6).alias("s"))
-                 .agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+                 .agg(_weighted(positive, weight).alias("p"),
+                      _weighted(~positive, weight).alias("q"))
                  .withColumn("c", F.floor(F.col("s") * 1000)))
 
     def below(order: str, value: str, *keys: str) -> Column:
@@ -177,15 +186,15 @@ def roc_auc(df: DataFrame, distance: str, label: str,
                 .rowsBetween(Window.unboundedPreceding, -1))
         return F.coalesce(F.sum(value).over(rows), F.lit(0))
 
-    per_chunk = (per_score.withColumn("w", F.col("p") * (below("s", "q", "c") + F.col("q") * 0.5))
+    per_chunk = (per_score.withColumn("w", F.col("p") * (below("s", "q", "c").cast("double") + F.col("q") * 0.5))
                  .groupBy(*group_cols, "c")
                  .agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q")))
-    return (per_chunk.withColumn("w", F.col("w") + F.col("p") * below("c", "q"))
+    return (per_chunk.withColumn("w", F.col("w") + F.col("p") * below("c", "q").cast("double"))
             .groupBy(*group_cols)
             .agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("w").alias("w"))
             .select(*group_cols, F.coalesce("n_pos", F.lit(0)).alias("n_pos"),
                     F.coalesce("n_neg", F.lit(0)).alias("n_neg"),
-                    F.coalesce(F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")),
+                    F.coalesce(F.try_divide(F.col("w") / F.col("n_pos"), F.col("n_neg")),
                                F.lit(float("nan"))).alias("auc")))
 
 

@@ -454,44 +454,18 @@ def self_similarity_moments(df: DataFrame, *, vec: str = "embedding") -> DataFra
         .alias("std_sim"))
 
 
-BIN = 10_000  # histogram of all-pairs cosines at four decimals
-
-
 def self_similarity_histogram(df: DataFrame, *, id_col: str = "id", vec: str = "embedding",
                               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(sim, n): how many off-diagonal pairs (each direction counted) have a cosine that is
-    ``sim`` at four decimals. At most 20,001 rows, whatever the number of pairs."""
-    base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
-    blocks = block_count(base, block_rows)
-    own = block_of("id", blocks)
-    # Cosine is symmetric: a block meets itself and the blocks after it.
-    left = (base.withColumn("lblk", own).withColumn("rblk", all_blocks(blocks))
-            .filter("lblk <= rblk"))
-    right = (base.withColumn("rblk", own).withColumn("lblk", all_blocks(blocks))
-             .filter("lblk <= rblk"))
-    schema = T.StructType([T.StructField("bin", T.IntegerType()),
-                           T.StructField("n", T.LongType())])
-
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        li, ri = to_ids(lt["id"]), to_ids(rt["id"])
-        s = to_unit(to_matrix(lt["v"])) @ to_unit(to_matrix(rt["v"])).T
-        same_block = lt["lblk"][0].as_py() == rt["rblk"][0].as_py()
-        wanted = li[:, None] != ri[None, :]
-        bins = np.floor(s[wanted] * BIN + 0.5).astype(np.int64) + BIN
-        counts = np.bincount(bins, minlength=2 * BIN + 1)
-        hit = np.nonzero(counts)[0]
-        # A block with itself already holds both directions.
-        return pa.table({"bin": (hit - BIN).astype(np.int32),
-                         "n": counts[hit] * (1 if same_block else 2)})
-
-    return (join_blocks(left, right, kernel, schema)
-            .groupBy("bin").agg(F.sum("n").alias("n"))
-            .select((F.col("bin") / F.lit(float(BIN))).alias("sim"), "n"))
+    ``sim`` at six decimals, whatever the number of pairs."""
+    from tripletspark.operators.tiles import pair_histogram
+    return (pair_histogram(df, id_col, vec, block_rows=block_rows)
+            .select("sim", (2 * F.col("n")).alias("n")))
 
 
 def self_similarity(df: DataFrame, *, id_col: str = "id", vec: str = "embedding",
                     above: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Statistics of all off-diagonal cosines, taken at four decimals: count, mean, median,
+    """Statistics of all off-diagonal cosines, taken at six decimals: count, mean, median,
     population standard deviation, min, max, quartiles and the percentage above a limit."""
     from tripletspark.operators.metrics import weighted_stats
     hist = self_similarity_histogram(df, id_col=id_col, vec=vec, block_rows=block_rows)

@@ -732,20 +732,30 @@ def h10_judgement_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pair_distances(spark: SparkSession, sf: str) -> DataFrame:
-    v = vecs(spark, sf)
-    labelled = pairs.labelled_pairs(v, ["label"], "vec_id", v.count())
-    return pairs.pair_distances(labelled, v, "vec_id", "embedding")
+    """Every pair of one label, and as many drawn pairs of two labels, as a histogram."""
+    return pairs.labelled_distances(vecs(spark, sf), ["label"], "vec_id", "embedding")
 
 
 @query
 def h11_threshold_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.threshold_metrics(_pair_distances(spark, sf), "distance",
-                                             "true_label", (0.5, 0.7, 0.8, 1.0)))
+                                             "true_label", (0.5, 0.7, 0.8, 1.0), weight="n"))
+
+
+@query
+def h11_threshold_metrics_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over the labelled pairs themselves, an even draw of as many as there are rows."""
+    v = vecs(spark, sf)
+    labelled = pairs.labelled_pairs(v, ["label"], "vec_id", v.count())
+    drawn = pairs.pair_distances(labelled, v, "vec_id", "embedding")
+    return rounded(metrics.threshold_metrics(drawn, "distance", "true_label",
+                                             (0.5, 0.7, 0.8, 1.0)))
 
 
 @query
 def h12_roc_auc(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.roc_auc(_pair_distances(spark, sf), "distance", "true_label"))
+    return rounded(metrics.roc_auc(_pair_distances(spark, sf), "distance", "true_label",
+                                   weight="n"))
 
 
 def _label_scores(spark: SparkSession, sf: str) -> DataFrame:

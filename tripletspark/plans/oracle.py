@@ -142,6 +142,15 @@ LABELLED = f"""{PAIRSPACE},
     dist AS (SELECT l.*, 1 - list_cosine_similarity(x.v, y.v) AS distance FROM labelled l
         JOIN emb x ON x.vec_id = id_a JOIN emb y ON y.vec_id = id_b)"""
 
+# Every pair of one label; as many drawn pairs of two labels.
+ALLPAIRS = f"""{EMB},
+    inside AS (SELECT round(1 - list_cosine_similarity(x.v, y.v), 6) AS distance
+        FROM emb x JOIN emb y ON x.label = y.label AND x.vec_id < y.vec_id),
+    slots AS (SELECT count(*) AS wanted FROM inside), {NEGPAIRS},
+    dist AS (SELECT distance, 1 AS true_label FROM inside
+        UNION ALL SELECT round(1 - list_cosine_similarity(x.v, y.v), 6), 0 FROM neg_pairs
+        JOIN emb x ON x.vec_id = id_a JOIN emb y ON y.vec_id = id_b)"""
+
 # Retrieval: top 100 of every vector, relevant = same label.
 _KS = (1, 5, 10)
 PERQ = f"""{_top(100)},
@@ -382,7 +391,7 @@ ORACLE: dict[str, str] = {
     "f7_mips_topk": f"WITH {_top(10)} SELECT query_id, rank, doc_id, score FROM hits",
     "f7_mips_topk_blocks": f"WITH {_top(10)} SELECT query_id, rank, doc_id, score FROM hits",
     "f8_self_similarity": f"""WITH {EMB},
-        s AS (SELECT floor(list_cosine_similarity(x.v, y.v) * 10000 + 0.5) / 10000 AS s
+        s AS (SELECT round(list_cosine_similarity(x.v, y.v), 6) AS s
             FROM emb x JOIN emb y ON x.vec_id <> y.vec_id)
         SELECT count(*) AS n, round(avg(s), 10) AS mean, round(median(s), 8) AS median,
             round(stddev_pop(s), 6) AS std, min(s) AS min, max(s) AS max,
@@ -531,7 +540,19 @@ ORACLE: dict[str, str] = {
             0::DOUBLE AS pct_applicable,
             round(100.0 * count(*) FILTER (fix) / count(*), 6)::DOUBLE AS pct_needs_correction
         FROM v GROUP BY feedback_type""",
-    "h11_threshold_metrics": f"""WITH {LABELLED},
+    "h11_threshold_metrics": f"""WITH {ALLPAIRS},
+        c AS (SELECT t::DOUBLE AS threshold,
+            count(*) FILTER (distance < t AND true_label = 1) AS tp,
+            count(*) FILTER (distance < t AND true_label = 0) AS fp,
+            count(*) FILTER (distance >= t AND true_label = 1) AS fn,
+            count(*) FILTER (distance >= t AND true_label = 0) AS tn
+            FROM dist, (VALUES (0.5), (0.7), (0.8), (1.0)) th(t) GROUP BY t)
+        SELECT threshold, tp, fp, fn, tn,
+            round((tp + tn) / (tp + fp + fn + tn), 6)::DOUBLE AS accuracy,
+            round(coalesce(tp / nullif(tp + fp, 0), 0), 6)::DOUBLE AS precision,
+            round(coalesce(tp / nullif(tp + fn, 0), 0), 6)::DOUBLE AS recall,
+            round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6)::DOUBLE AS f1 FROM c""",
+    "h11_threshold_metrics_drawn": f"""WITH {LABELLED},
         c AS (SELECT t::DOUBLE AS threshold,
             count(*) FILTER (distance < t AND true_label = 1) AS tp,
             count(*) FILTER (distance < t AND true_label = 0) AS fp,
@@ -543,11 +564,14 @@ ORACLE: dict[str, str] = {
             round(coalesce(tp / nullif(tp + fp, 0), 0), 6)::DOUBLE AS precision,
             round(coalesce(tp / nullif(tp + fn, 0), 0), 6)::DOUBLE AS recall,
             round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6)::DOUBLE AS f1 FROM c""",
-    "h12_roc_auc": f"""WITH {LABELLED},
-        s AS (SELECT round(1 - distance, 6) AS s, true_label FROM dist)
-        SELECT count(*) FILTER (true_label = 1) AS n_pos, count(*) FILTER (true_label = 0) AS n_neg,
-            (SELECT round(avg(CASE WHEN p.s > q.s THEN 1 WHEN p.s = q.s THEN 0.5 ELSE 0 END), 6)
-             FROM s p JOIN s q ON p.true_label = 1 AND q.true_label = 0)::DOUBLE AS auc FROM s""",
+    "h12_roc_auc": f"""WITH {ALLPAIRS},
+        places AS (SELECT true_label, distance, avg(place) OVER (PARTITION BY distance) AS place
+            FROM (SELECT *, row_number() OVER (ORDER BY distance DESC) AS place FROM dist)),
+        c AS (SELECT count(*) FILTER (true_label = 1) AS n_pos,
+            count(*) FILTER (true_label = 0) AS n_neg,
+            sum(place) FILTER (true_label = 1) AS places FROM places)
+        SELECT n_pos, n_neg, round((places - n_pos * (n_pos + 1.0) / 2) / n_pos / n_neg, 6)::DOUBLE
+            AS auc FROM c""",
     "h13_rank_models": f"""WITH {TRIPLETS},
         m AS (SELECT 'm' || label AS model, avg(1 - neg_dist) AS x FROM cosd GROUP BY label)
         SELECT model, round(x, 6) AS mean_sim,
