@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pytest
 import xxhash
@@ -57,25 +55,16 @@ def test_links_give_the_components_of_brute_force(spark, bits):
     assert groups(full) == {frozenset(simhash.signed(x) for x in g) for g in groups(want)}
 
 
-def test_large_groups_are_split_without_loss(spark, monkeypatch):
-    """Bounds are globals of functions that are pickled by reference, so the workers keep
-    theirs: the split is tested by itself, the comparison in this process."""
-    monkeypatch.setattr(simhash, "SMALL", 2)
+def test_large_groups_are_split_without_loss(spark):
+    """Groups of one key, most of all fingerprints, beyond a bound of 4: split again and again,
+    compared in the workers, with the components of brute force."""
     rng = np.random.default_rng(5)
     center = int(rng.integers(0, 1 << 63))
     nodes = sorted({center ^ sum(1 << int(k) for k in rng.choice(64, 3, replace=False))
                     for _ in range(60)} | set(balls(20, 3, 9)))
     df = spark.createDataFrame([(simhash.signed(x),) for x in nodes], "fp long")
-    rows, masks = simhash._keyed(df, 3)
-    for _ in range(3):
-        parts = [simhash._split(rows, m, 4) for m in masks]
-        rows = functools.reduce(lambda a, b: a.union(b), [x for x, _ in parts])
-        masks = set().union(*[m for _, m in parts])
-    frame = rows.sort("part", "key").toPandas().assign(n=2)
-    pairs = [p for out in simhash._compare(3)(iter(np.array_split(frame, 7)))
-             for p in zip(out["key"], out["fp"], strict=True)]
-    links = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long")
-    got = {r.node: r.root for r in components(links).collect()}
+    got = {r.node: r.root for r in
+           components(simhash.hamming_links(df, 3, group=4, small=2)).collect()}
     want = plain_components(nodes, 3)
     many = {x for x in nodes if sum(want[y] == want[x] for y in nodes) > 1}
     assert set(got) == {simhash.signed(x) for x in many}

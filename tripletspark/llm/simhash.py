@@ -14,7 +14,6 @@ only links that join something new leave a group.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tripletspark.llm.components import components
 from tripletspark.llm.tables import Whole, texts
-from tripletspark.session import cut_lineage
+from tripletspark.session import broadcast_if_small, cut_lineage
 
 SEGMENTS = 8
 SEED = 42
@@ -97,9 +96,9 @@ def _turned(fp: Column, k: int) -> Column:
 _ROW = "turn int, part long, free long, key long, fp long"
 
 
-def _keyed(distinct: DataFrame, bits: int) -> tuple[DataFrame, set[int]]:
+def _keyed(distinct: DataFrame, bits: int) -> DataFrame:
     """A row for each key of a fingerprint (turned to the chain's start): turn, part (which
-    bits the key has), free (the others), key; and the masks that occur in free."""
+    bits the key has), free (the others) and key."""
     masks, rows = key_masks(bits), []
     for k in range(SEGMENTS):
         fp = _turned(F.col("fp"), k)
@@ -107,21 +106,23 @@ def _keyed(distinct: DataFrame, bits: int) -> tuple[DataFrame, set[int]]:
                           .alias("part"), F.lit(signed(~m & _ALL)).cast("long").alias("free"),
                           fp.bitwiseAND(F.lit(signed(m)).cast("long")).alias("key"),
                           fp.alias("fp")) for j, m in enumerate(masks)]
-    return (distinct.select(F.explode(F.array(*rows)).alias("x")).select("x.*"),
-            {~m & _ALL for m in masks})
+    return distinct.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def _split(rows: DataFrame, free: int, parts: int) -> tuple[DataFrame, set[int]]:
-    """Keys with one more part of the free bits in each, for rows that have these bits free."""
-    places = [i for i in range(64) if free >> i & 1]
-    runs = [sum(1 << int(p) for p in run) for run in np.array_split(places, parts)]
-    new = [F.struct("turn", (F.col("part") * parts + j).alias("part"),
-                    F.lit(signed(free & ~m)).cast("long").alias("free"),
-                    F.col("fp").bitwiseAND(F.lit(signed(~free & _ALL | m)).cast("long"))
-                    .alias("key"), "fp") for j, m in enumerate(runs)]
-    return (rows.where(F.col("free") == signed(free))
-            .select(F.explode(F.array(*new)).alias("x")).select("x.*"),
-            {free & ~m for m in runs})
+def _split(rows: DataFrame, level: int, parts: int) -> DataFrame:
+    """Keys with one more part of the free bits in each, by one expression over ``free``. The
+    places are dealt to the parts anew on each level, so a part without free bits, which leaves
+    its key as it was, gets some on the next."""
+    places = np.random.default_rng(level).permutation(64)
+    new = []
+    for j, run in enumerate(np.array_split(places, parts)):
+        part = F.lit(signed(sum(1 << int(p) for p in run))).cast("long")
+        taken = F.col("free").bitwiseAND(part)
+        free = F.col("free").bitwiseAND(F.bitwise_not(part))
+        new.append(F.struct("turn", (F.col("part") * parts + j).alias("part"), free.alias("free"),
+                            F.col("key").bitwiseOR(F.col("fp").bitwiseAND(taken)).alias("key"),
+                            "fp"))
+    return rows.select(F.explode(F.array(*new)).alias("x")).select("x.*")
 
 
 def chain_holds(x: np.ndarray, bits: int) -> np.ndarray:
@@ -153,9 +154,8 @@ def _back(fp: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return ((fp >> k) | np.where(k > 0, fp << up, np.uint64(0))).view(np.int64)
 
 
-def _compare(bits: int):
-    """Over rows sorted by (part, key): the links (kind 0) inside each run of equal keys. Rows of
-    runs beyond ``GROUP`` come back to be split (kind 1)."""
+def _compare(bits: int, small: int):
+    """Over rows sorted by (part, key): the links inside each run of equal keys."""
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         part, key = rows["part"].to_numpy(), rows["key"].to_numpy()
         fp = rows["fp"].to_numpy().view(np.uint64)
@@ -165,31 +165,26 @@ def _compare(bits: int):
         size = np.repeat(sizes, sizes)
         room = np.repeat(starts + sizes, sizes) - np.arange(len(part))
         left, right = [], []
-        for d in range(1, SMALL):
-            at = np.flatnonzero((size <= SMALL) & (room > d))
+        for d in range(1, small):
+            at = np.flatnonzero((size <= small) & (room > d))
             if not len(at):
                 break
             at = at[chain_holds(fp[at] ^ fp[at + d], bits)]
             left.append(at)
             right.append(at + d)
         for s, n in zip(starts, sizes, strict=True):
-            if n > SMALL:
+            if n > small:
                 found = np.array([*_spanning(fp[s:s + n], bits)], np.int64).reshape(-1, 2)
                 left.append(s + found[:, 0])
                 right.append(s + found[:, 1])
         a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
                 for x in (left, right))
         turn = rows["turn"].to_numpy()
-        return pd.DataFrame({"kind": 0, "turn": 0, "part": 0, "free": 0,
-                             "key": _back(fp[a], turn[a]), "fp": _back(fp[b], turn[b])})
+        return pd.DataFrame({"a": _back(fp[a], turn[a]), "b": _back(fp[b], turn[b])})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the last run so far, at most GROUP rows
+        held = None  # the last run so far, of bounded size
         for frame in frames:
-            large = (frame["n"] > GROUP).to_numpy()
-            if large.any():
-                yield frame[large].assign(kind=1)[["kind", "turn", "part", "free", "key", "fp"]]
-                frame = frame[~large]
             if not len(frame):
                 continue
             rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
@@ -203,23 +198,29 @@ def _compare(bits: int):
     return run
 
 
-def hamming_links(distinct: DataFrame, bits: int) -> DataFrame:
+def hamming_links(distinct: DataFrame, bits: int, group: int = GROUP,
+                  small: int = SMALL) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) of at most ``bits`` differing bits
-    that join everything that such links join (of a large group, a spanning part)."""
-    rows, masks = _keyed(distinct, bits)
-    found = None
+    that join everything that such links join (of a large group, a spanning part).
+
+    Keys of more than ``group`` rows, counted by an aggregate, are split by further bits; only
+    the others' rows are brought together. Groups of ``small`` are compared pair by pair."""
+    rows, found, level = _keyed(distinct, bits), None, 0
     while True:
+        large = cut_lineage(rows.groupBy("part", "key").agg(F.count("*").alias("n"))
+                            .where(F.col("n") > group).select("part", "key"))
+        some = not large.isEmpty()
+        large = broadcast_if_small(large)
+        rest = rows.join(large, ["part", "key"], "left_anti") if some else rows
         of = Window.partitionBy("part", "key")
-        shared = rows.withColumn("n", F.count("*").over(of)).where(F.col("n") > 1)
-        out = cut_lineage(shared.mapInPandas(_compare(bits), f"kind int, {_ROW}"))
-        links = out.where(F.col("kind") == 0).select(F.col("key").alias("a"), F.col("fp").alias("b"))
+        shared = rest.withColumn("n", F.count("*").over(of)).where(F.col("n") > 1)
+        links = cut_lineage(shared.select("turn", "part", "key", "fp")
+                            .mapInPandas(_compare(bits, small), "a long, b long"))
         found = links if found is None else found.union(links)
-        over = out.where(F.col("kind") == 1).drop("kind")
-        if over.isEmpty():
+        if not some:
             return found
-        split = [_split(over, m, bits + 1) for m in sorted(masks)]
-        rows = functools.reduce(DataFrame.union, [x for x, _ in split])
-        masks = set().union(*[m for _, m in split])
+        over = rows.join(large, ["part", "key"], "left_semi")
+        rows, level = cut_lineage(_split(over, level, bits + 1)), level + 1
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
