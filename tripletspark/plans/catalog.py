@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tripletspark.functions import text as tx
 from tripletspark.functions import vectors as vx
-from tripletspark.operators import indexing, metrics, monitor, negatives, pairs, quality
+from tripletspark.operators import approx, indexing, metrics, monitor, negatives, pairs, quality
 from tripletspark.operators import retrieval, sampling, similarity, triplets
 from tripletspark.operators import models
 from tripletspark.plans.stages import Stage, run_stages
@@ -553,6 +553,37 @@ def _mined(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.hard_negatives(vecs(spark, sf), 2, id_col="vec_id", **BAND)
 
 
+def _every_fiftieth(spark: SparkSession, sf: str) -> tuple[DataFrame, approx.CellIndex]:
+    v = vecs(spark, sf)
+    index = approx.build_index(v, scratch_path(spark, "cells"), id_col="vec_id")
+    return v.filter("vec_id % 50 = 0"), index
+
+
+@query
+def f11_approx_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten neighbours of every fiftieth row from the fitted number of cells."""
+    q, index = _every_fiftieth(spark, sf)
+    return rounded(approx.approx_topk(q, index, 10, query_id="vec_id", exclude_self=True))
+
+
+@query
+def f11_index_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The same index asked for exact results, by the path for many queries."""
+    q, index = _every_fiftieth(spark, sf)
+    return rounded(approx.approx_topk(q, index, 10, query_id="vec_id", exclude_self=True,
+                                      exact=True, broadcast_rows=0))
+
+
+@query
+def f11_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """What the approximate search finds of the exact one's results."""
+    q, index = _every_fiftieth(spark, sf)
+    exact = similarity.mips_topk(q, vecs(spark, sf), 10, query_id="vec_id", doc_id="vec_id",
+                                 exclude_self=True)
+    return rounded(approx.recall_at_k(
+        approx.approx_topk(q, index, 10, query_id="vec_id", exclude_self=True), exact))
+
+
 @query
 def g1_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_mined(spark, sf))

@@ -61,6 +61,23 @@ def _top(k: int) -> str:
         QUALIFY rank <= {k})"""
 
 
+# Cells around the first rows in hash order; how many nearest cells hold 95 % of the ten nearest of
+# the first 256 rows; the ten nearest of every fiftieth row in that many of its cells.
+CELLS = f"""{SIM},
+    ranked AS (SELECT *, {_index("emb", "vec_id")} AS r FROM emb),
+    near AS (SELECT x.vec_id, p.r AS cell, row_number() OVER (PARTITION BY x.vec_id
+            ORDER BY list_cosine_similarity(x.v, p.v) DESC, p.r) AS place
+        FROM emb x, ranked p WHERE p.r < ceil(2 * sqrt((SELECT count(*) FROM emb)))),
+    home AS (SELECT vec_id AS d, cell FROM near WHERE place = 1),
+    exact AS (SELECT q, d, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rank FROM sim
+        QUALIFY rank <= 10),
+    opened AS (SELECT quantile_disc(place, 0.95) AS probes FROM exact
+        JOIN ranked ON ranked.vec_id = q AND r < 256 JOIN home USING (d)
+        JOIN near ON near.vec_id = q AND near.cell = home.cell),
+    approx AS (SELECT q, d, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rank
+        FROM sim JOIN home USING (d) JOIN near ON near.vec_id = q AND near.cell = home.cell
+        WHERE q % 50 = 0 AND place <= (SELECT probes FROM opened) QUALIFY rank <= 10)"""
+
 # Hard negatives: every pair, its walk position, its band; then the three cases.
 MINED = f"""{SIM},
     {_walk("embeddings", "vec_id", 1)},
@@ -411,6 +428,15 @@ ORACLE: dict[str, str] = {
             round(sum(w * x) / greatest(sum(w), 1e-9), 6) AS value
         FROM u GROUP BY label, pos""",
 
+    "f11_approx_topk": f"""WITH {CELLS}
+        SELECT q AS query_id, rank, d AS doc_id, s AS score FROM approx""",
+    "f11_index_exact": f"""WITH {CELLS}
+        SELECT q AS query_id, rank, d AS doc_id, s AS score FROM exact WHERE q % 50 = 0""",
+    "f11_recall": f"""WITH {CELLS}
+        SELECT count(DISTINCT e.q) AS n_queries, count(*) AS wanted, count(a.d) AS found,
+            round(avg((a.d IS NOT NULL)::INT), 6)::DOUBLE AS recall
+        FROM exact e LEFT JOIN approx a ON a.q = e.q AND a.d = e.d WHERE e.q % 50 = 0""",
+
     "g1_hard_negatives": f"WITH {MINED} SELECT vec_id, rank, neg_id, score, source FROM mined",
     "g2_hybrid_negatives": f"""WITH {MINED},
         easy AS (SELECT w.vec_id, w.neg_id, row_number() OVER (PARTITION BY w.vec_id
