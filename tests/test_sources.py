@@ -116,6 +116,23 @@ def test_cache(spark, tmp_path):
     assert store.get(df, "t", "other")[0].count() == 0
 
 
+def test_cache_opens_only_the_buckets_it_needs(spark, tmp_path):
+    store = cache.EmbeddingCache(spark, str(tmp_path / "cache"), buckets=256)
+    df = spark.range(400).select("id", F.concat(F.lit("t"), "id").alias("t"))
+    def coded(d):
+        return d.withColumn("embedding", F.array(F.col("id").cast("float")))
+    store.put(coded(df), "t", "m")
+    store.put(coded(df.filter("id < 50")), "t", "m")
+    kept = spark.read.parquet(str(tmp_path / "cache"))
+    assert kept.count() == 400 and kept.select("bucket").distinct().count() > 150
+    hit, miss = store.get(df.filter("id < 3").union(df.filter("id < 3")), "t", "m")
+    assert sorted(r.id for r in hit.collect()) == [0, 0, 1, 1, 2, 2] and miss.count() == 0
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    asked = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket#" in asked and "model#" in asked and asked.count(",") < 8
+    assert {r.embedding[0] for r in hit.collect()} == {0.0, 1.0, 2.0}
+
+
 def test_synthetic(spark):
     rows = synthetic.generate_triplets(spark, 25).collect()
     assert len({r.code_id for r in rows}) == 25

@@ -21,7 +21,7 @@ from tripletspark.plans.stages import Stage, run_stages
 from tripletspark.session import scratch_path
 from tripletspark.sources import files, sinks, synthetic
 from tripletspark.sources.cache import EmbeddingCache
-from tripletspark.streaming.incremental import incremental_process
+from tripletspark.streaming.incremental import incremental_process, processed
 from tripletspark.streaming.live import live_monitor, store_windows, stored_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +176,28 @@ def a11_embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
             .unionByName(miss.select("vec_id", F.lit(0).cast("long").alias("cached"))))
 
 
+def _measured(texts: DataFrame) -> DataFrame:
+    """A model in columns: length, words and letters e of a text."""
+    t = F.col("text")
+    return texts.withColumn("embedding", F.array(
+        F.length(t), F.size(F.split(t, " ")), F.length(t) - F.length(F.translate(t, "e", "")))
+        .cast("array<float>"))
+
+
+@query
+def a11_get_or_encode(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts' vectors, first with half of them stored, then with all."""
+    cache = EmbeddingCache(spark, scratch_path(spark, "cache"))
+    d = docs(spark, sf).select("doc_id", "text")
+    cache.put(_measured(d.filter("doc_id % 2 = 0")), "text", "lengths")
+    cold = cache.get_or_encode(d, "text", "lengths", _measured)
+    warm = cache.get_or_encode(d, "text", "lengths", _measured)
+    both = cold.withColumn("run", F.lit("cold")).unionByName(warm.withColumn("run", F.lit("warm")))
+    e = F.col("embedding")
+    return rounded(both.select("run", "doc_id", e[0].alias("chars"), e[1].alias("words"),
+                               e[2].alias("letters_e")))
+
+
 @query
 def a12_generate_triplets(spark: SparkSession, sf: str) -> DataFrame:
     return synthetic.triplets_for(docs(spark, sf), "doc_id")
@@ -977,7 +999,31 @@ def k1_incremental_process(spark: SparkSession, sf: str) -> DataFrame:
     for _ in range(2):  # the second run finds nothing to do
         incremental_process(spark, sf, out, point, "doc_id", measure, schema,
                             glob="documents.parquet")
-    return spark.read.parquet(out)
+    return processed(spark, out)
+
+
+@query
+def k1_retry_failed(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of one language each; those of one fail in the first run, the second takes them up
+    from the dead letters and finds the progress of all others lost."""
+    source, out = scratch_path(spark, "by-language"), scratch_path(spark, "incremental")
+    d = docs(spark, sf).select("doc_id", "text", "lang")
+    (d.withColumn("part", F.col("lang")).repartition("part").write.partitionBy("part")
+     .parquet(source))
+
+    def measure(batch: DataFrame) -> DataFrame:
+        return batch.select("doc_id", F.length("text").cast("long").alias("n"))
+
+    def moody(batch: DataFrame) -> DataFrame:
+        return measure(batch.filter(F.when(F.col("lang") == "de", F.raise_error(F.lit("down"))
+                                           .cast("boolean")).otherwise(F.lit(True))))
+
+    options = {"skip_failed": True, "files_per_batch": 1}
+    incremental_process(spark, source, out, scratch_path(spark, "progress"), "doc_id", moody,
+                        d.schema, **options)
+    incremental_process(spark, source, out, scratch_path(spark, "progress"), "doc_id", measure,
+                        d.schema, **options)
+    return processed(spark, out)
 
 
 @query

@@ -243,6 +243,10 @@ ORACLE: dict[str, str] = {
         GROUP BY lang""",
     "a11_embedding_cache": """SELECT vec_id, CASE WHEN label < 5 THEN len(embedding) ELSE 0 END
         ::BIGINT AS cached FROM embeddings""",
+    "a11_get_or_encode": """SELECT run, doc_id, length(text)::DOUBLE AS chars,
+        len(string_split(text, ' '))::DOUBLE AS words,
+        (length(text) - length(replace(text, 'e', '')))::DOUBLE AS letters_e
+        FROM documents, (SELECT unnest(['cold', 'warm']) AS run)""",
     "a12_generate_triplets": "WITH p AS (SELECT * FROM (VALUES " + ", ".join(
         "({}, '{}', '{}', '{}')".format(i, *[x.replace("'", "''") for x in row])
         for i, row in enumerate(PATTERNS)) + """) t(i, code_snippet, conceptual_feedback,
@@ -697,6 +701,7 @@ ORACLE: dict[str, str] = {
             min(s) FILTER (s BETWEEN 0.3 AND 0.5) AS min_sim,
             max(s) FILTER (s BETWEEN 0.3 AND 0.5) AS max_sim FROM sim GROUP BY q""",
 
+    "k1_retry_failed": "SELECT doc_id, length(text) AS n FROM documents",
     "k1_incremental_process": "SELECT doc_id, length(text) AS n FROM documents",
     "k2_live_monitor": """
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n,

@@ -6,9 +6,9 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from tripletspark.session import stored
 from tripletspark.sources.sinks import log_run
 
 
@@ -21,11 +21,8 @@ class Stage:
 
 
 def has_output(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    """Whether something is stored in ``path``; an error that says anything else is raised."""
+    return stored(spark, path) is not None
 
 
 def run_stages(spark: SparkSession, stages: Sequence[Stage], *, only: str | None = None,

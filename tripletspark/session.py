@@ -7,8 +7,10 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(spark: SparkSession, path: str, schema: str | StructType | None = None
+           ) -> DataFrame | None:
+    """The Parquet table in ``path``, or None where nothing has been stored. Any other error, say
+    missing rights or a damaged file, is raised, not taken for an empty table."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    try:
+        return reader.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 BROADCAST_ROWS = 500_000
 
 

@@ -85,6 +85,8 @@ def scan_done(spark: SparkSession, path: str, key: str) -> DataFrame | None:
     do not count. None when there is no output yet."""
     try:
         good, _ = scan_jsonl(spark, path, f"{key} string", "skip_bad")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return good.filter(F.col(key).isNotNull()).select(key)
