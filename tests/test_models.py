@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -109,6 +111,53 @@ def test_default_encoder_and_projection(spark):
     assert shares[0] >= shares[1] >= shares[2] and 0.9 < sum(shares) <= 1.0 + 1e-9
 
 
+def test_default_encoder_against_counting(spark):
+    """Signs, weights and clashes of dimensions; nulls, other columns, any partitioning."""
+    texts = ["one two two three", "Two THREE four_4", None, "", "!?", "é É one", "one " * 5000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)],
+                               "id int, text string, embedding_of string")
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    for dims in (4, 64):
+        def slot(w):
+            h = hashlib.md5(w.encode()).hexdigest()
+            return int(h[:8], 16) % dims, 1 if int(h[8], 16) < 8 else -1
+        hit = [sum(d in {slot(w)[0] for w in ws} for ws in words) for d in range(dims)]
+        want = np.zeros((len(texts), dims))
+        for i, ws in enumerate(words):
+            for w in ws:
+                d, sign = slot(w)
+                want[i, d] += sign * np.log((len(texts) + 1) / (hit[d] + 1))
+        length = np.linalg.norm(want, axis=1, keepdims=True)
+        want = np.divide(want, length, out=np.zeros_like(want), where=length > 0)
+        for parts in (1, 5):
+            got = md.embed_default(df.repartition(parts), "text", dims=dims)
+            assert got.columns == [*df.columns, "embedding"]
+            rows = {r.id: r.embedding for r in got.collect()}
+            assert np.allclose([rows[i] for i in range(len(texts))], want, atol=1e-6)
+    assert md.embed_default(df.limit(0), "text").count() == 0
+
+
+def test_projection_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(200, 6)) @ rng.normal(size=(6, 6)) + 10
+    m[5, 2] = np.nan
+    clean = np.nan_to_num(m, nan=0.0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)],
+                               "id int, embedding array<double>")
+    _, _, axes = np.linalg.svd(clean - clean.mean(axis=0), full_matrices=False)
+    axes = axes[:3] * np.sign(axes[:3][np.arange(3), np.abs(axes[:3]).argmax(axis=1)])[:, None]
+    for parts in (1, 7):
+        coords, shares = md.project(df.repartition(parts), 3)
+        rows = {r.id: r.coords for r in coords.collect()}
+        assert np.allclose([rows[i] for i in range(200)], (clean - clean.mean(axis=0)) @ axes.T)
+        assert np.allclose(shares, np.linalg.svd(clean - clean.mean(axis=0))[1][:3] ** 2
+                           / ((clean - clean.mean(axis=0)) ** 2).sum())
+    none, shares = md.project(df.limit(0))
+    assert none.count() == 0 and shares == []
+    same, shares = md.project(spark.createDataFrame([(1, [2.0, 2.0])] * 3, df.schema))
+    assert shares == [0.0, 0.0] and all(r.coords == [0.0, 0.0] for r in same.collect())
+
+
 def test_mean_pool(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0], 1.0), ("a", [3.0, 4.0], 3.0), ("a", [9.0, 9.0], 0.0),
                                 ("z", [1.0, 1.0], 0.0)], "g string, embedding array<float>, w double")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import functions as F
 
 from tripletspark.operators import quality as q
@@ -110,3 +112,28 @@ def test_dataset_checks(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, ""), (4, None)], "id int, t string")
     r = q.dataset_checks(df, "t", ["t"], 1, 1).first()
     assert (r.n_rows, r.missing_t, r.n_too_short, r.n_too_long, r.n_repeated) == (4, 2, 1, 2, 1)
+
+
+def test_length_sketches_merge_within_the_bound(spark, tmp_path):
+    """Loads stored one after the other; ranks against all lengths; null texts, no rows."""
+    path = str(tmp_path / "sketches")
+    lengths = []
+    for load in range(3):
+        n = 20_000
+        size = F.pmod(F.xxhash64("id", F.lit(load)), F.lit(1000 * (load + 1)))
+        df = spark.range(n).select(F.repeat(F.lit("x"), size.cast("int")).alias("t"))
+        df = df.union(spark.createDataFrame([(None,)], "t string"))
+        q.length_sketches(df, "t").write.mode("append").parquet(path)
+        lengths += [len(r.t) for r in df.collect() if r.t is not None]
+    lengths.sort()
+    stored = spark.read.parquet(path)
+    assert stored.count() == 3
+    rows = q.length_quantiles(stored, [0.01, 0.1, 0.5, 0.9, 0.99]).collect()
+    for r in rows:
+        assert r.n == len(lengths)
+        low, high = bisect.bisect_left(lengths, r.n_chars), bisect.bisect_right(lengths, r.n_chars)
+        slack = q.SKETCH_ERROR * r.n + 1
+        assert low - slack <= r.share * r.n <= high + slack
+    assert q.length_quantiles(stored.limit(0)).count() == 0
+    empty = q.length_sketches(spark.createDataFrame([], "t string"), "t")
+    assert q.length_quantiles(empty).count() == 0

@@ -90,6 +90,36 @@ def test_assign_batches(spark, chunks):
     assert max(got.values()) + 1 == math.ceil(103 / 10)
 
 
+@pytest.mark.parametrize("chunks", [None, 1, 9])
+def test_rank_of_any_key(spark, chunks):
+    """Texts, bytes and dates; nulls first; the same ranks from any partitioning."""
+    rows = [(i, None if i % 5 == 0 else ["é", "a", "B", "", "zz"][i % 4] + str(i % 7),
+             bytes([i % 3, i % 11])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t string, b binary").withColumn(
+        "d", F.date_add(F.lit("2024-01-01"), (F.col("id") % 9).cast("int")))
+    for col, key in (("t", lambda r: (r[1] is not None, (r[1] or "").encode(), r[0])),
+                     ("b", lambda r: (r[2], r[0])), ("d", lambda r: (r[0] % 9, r[0]))):
+        want = {r[0]: k for k, r in enumerate(sorted(rows, key=key))}
+        for parts in (1, 6):
+            got = ix.global_rank(df.repartition(parts), [col, "id"], chunks)
+            assert {r.id: r["rank"] for r in got.collect()} == want
+    assert ix.global_rank(df.limit(0), ["t"], chunks).count() == 0
+
+
+def test_one_value_in_a_third_of_all_rows_is_cut(spark):
+    """By the tie column, for a value and for null."""
+    for hot in ("x", None):
+        df = spark.range(9000).select("id", F.when(F.col("id") < 3000, F.lit(hot)).otherwise(
+            F.col("id").cast("string")).alias("t"))
+        cut = df.repartitionByRange(12, F.col("t").asc_nulls_first(), F.col("id"))
+        sizes = cut.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 1500 and len(sizes) == 12
+        got = ix.assign_batches(df, 100, "t", 12, tie_cols=["id"])
+        assert got.groupBy("batch").count().filter("count <> 100").count() == 0
+        if hot is None:
+            assert {r.batch for r in got.filter("t IS NULL").collect()} == set(range(30))
+
+
 def test_ordered_index_with_hot_value(spark):
     df = spark.range(300).select("id", F.when(F.col("id") < 200, 5).otherwise(F.col("id"))
                                  .alias("k"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripletspark.session import cut_lineage
+
 HASH_DIGITS = 4  # 65,536 buckets: the bound on every table of bucket sizes
 
 
@@ -162,9 +164,39 @@ def ordered_index(df: DataFrame, order_col: str, tie_cols: Sequence[str] = (), *
             .drop("_local", "_start"))
 
 
+_LOCAL_BITS = 33  # row number inside a partition, in monotonically_increasing_id
+
+
+def global_rank(df: DataFrame, order_cols: Sequence[str], chunks: int | None = None,
+                out: str = "rank") -> DataFrame:
+    """0-based rank by ``order_cols``, ascending with nulls first, for keys of any orderable type:
+    text, binary, numbers, dates, structs.
+
+    Spark's range shuffle samples the keys and cuts them into chunks; the rank is the number of
+    rows in the chunks before plus the place in the sorted chunk. All ``order_cols`` take part in
+    the cuts, so a first column with one value (or null) in a third of the rows is still cut by
+    the next ones. The chunks are stored before they are counted, as a second run of the sample
+    need not cut at the same keys. Rows that are equal in all columns get ranks in any order.
+    """
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    if chunks is None:
+        chunks = -(-df.count() // ROWS_PER_CHUNK)
+    chunks = min(max(1, chunks), MAX_CHUNKS)
+    placed = cut_lineage(df.repartitionByRange(chunks, *order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    chunk = F.shiftright("_at", _LOCAL_BITS)
+    sizes = placed.groupBy(chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = _starts(sizes, [], "_chunk", "_n", "_start").drop("_n")
+    return (placed.withColumn("_chunk", chunk).join(F.broadcast(starts), "_chunk")
+            .withColumn(out, F.col("_start") + F.col("_at").bitwiseAND((1 << _LOCAL_BITS) - 1))
+            .drop("_at", "_chunk", "_start"))
+
+
 def assign_batches(df: DataFrame, size: int, order_col: str, chunks: int | None = None,
-                   out: str = "batch") -> DataFrame:
-    """Consecutive batches of ``size`` rows in the order of the unique ``order_col``."""
-    ranked = ordered_index(order_chunks(df, order_col, chunks), order_col, out="_pos")
-    return (ranked.withColumn(out, F.floor(F.col("_pos") / size).cast("long"))
-            .drop("_pos", "_chunk"))
+                   out: str = "batch", tie_cols: Sequence[str] = ()) -> DataFrame:
+    """Consecutive batches of ``size`` rows in the order of ``order_col``, of any orderable type;
+    give ``tie_cols`` where its values repeat."""
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    ranked = global_rank(df, [order_col, *tie_cols], chunks, "_pos")
+    return (ranked.withColumn(out, F.floor(F.col("_pos") / size).cast("long")).drop("_pos"))

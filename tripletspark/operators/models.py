@@ -7,20 +7,26 @@ step; write the result to a table before using it twice.
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripletspark.functions.text import (
     failed_verdict, judge_messages, parse_judgement, truncate_chars,
 )
+from tripletspark.functions.vectors import sanitize_vectors
+from tripletspark.operators.similarity import to_matrix
 
 Messages = list[dict]
 TextModel = Callable[[list[Messages]], list[str]]
@@ -189,7 +195,6 @@ def embed(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable], *,
     The encoder is made once per task and sees whole texts; ``max_chars`` is for models
     that take only so much.
     """
-    import numpy as np
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
     text = F.coalesce(text_col, F.lit(""))
     cut = df.withColumn("_text", truncate_chars(text, max_chars) if max_chars else text)
@@ -211,20 +216,68 @@ def embed(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable], *,
     return cut.mapInPandas(run, schema)
 
 
+class _Slots(dict):
+    """From a word to 2 * dimension + (1 for a negative sign), by its md5; emptied when large."""
+
+    def __init__(self, dims: int, limit: int = 500_000):
+        self.dims, self.limit = dims, limit
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = hashlib.md5(word.encode()).hexdigest()
+        out = self[word] = 2 * (int(h[:8], 16) % self.dims) + (int(h[8], 16) >= 8)
+        return out
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = _WORD.findall((text or "").lower())
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+_WORD = re.compile(r"\w+")
+
+
 def embed_default(df: DataFrame, text_col: str, *, dims: int = 256,
                   out: str = "embedding") -> DataFrame:
-    """Encoder without a model: hashed words, inverse document frequency, unit length.
-    Runs in the JVM on whole texts."""
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+",
-                           toLowercase=True)
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims)
-    idf = IDF(inputCol="_tf", outputCol="_idf")
-    unit = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)
-    ready = df.withColumn("_text", F.coalesce(text_col, F.lit("")))
-    fitted = Pipeline(stages=[words, counts, idf, unit]).fit(ready)
-    return (fitted.transform(ready)
-            .withColumn(out, vector_to_array("_unit", "float32"))
-            .drop("_text", "_words", "_tf", "_idf", "_unit"))
+    """Encoder without a model: signed hashed words, inverse document frequency, unit length.
+
+    A word's md5 gives its dimension (first 8 hex digits) and sign (the ninth); a dimension that
+    df of N texts hit weighs ln((N + 1) / (df + 1)). Whole texts are read, twice: tasks first count
+    their texts by dimension (``dims`` numbers each, added up), then write the vectors where the
+    texts lie. Texts without words, null ones too, are zero vectors.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, hit, n = _Slots(dims), np.zeros(dims, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                hit[np.unique(slots.of(text) >> 1)] += 1
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(-1, dims, dtype=np.int64)), pa.array(np.r_[n, hit])],
+            names=["dim", "n"])
+
+    counts = {r.dim: r.n for r in df.select(F.col(text_col).cast("string"))
+              .mapInArrow(count, "dim long, n long").groupBy("dim")
+              .agg(F.sum("n").alias("n")).collect()}  # dims + 1 rows
+    rows = counts.get(-1, 0)
+    idf = np.log((rows + 1) / (np.array([counts.get(d, 0) for d in range(dims)]) + 1))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _Slots(dims)
+        for batch in batches:
+            m = np.zeros((batch.num_rows, dims))
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                at = slots.of(text)
+                m[i] = np.bincount(at >> 1, weights=1.0 - 2 * (at & 1), minlength=dims) * idf
+            length = np.linalg.norm(m, axis=1, keepdims=True)
+            unit = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+            vectors = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, m.size + 1, dims, dtype=np.int32)),
+                pa.array(unit.astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=schema.names)
+
+    return df.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(encode, schema)
 
 
 def embed_distinct(df: DataFrame, text_col: str, encode: Callable[[DataFrame], DataFrame],
@@ -236,19 +289,68 @@ def embed_distinct(df: DataFrame, text_col: str, encode: Callable[[DataFrame], D
     return keyed.join(encode(texts).select("_d", out), "_d").drop("_d")
 
 
+def second_moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and covariance of the vectors in one pass: a task hands on one packed row, rows
+    are added up in two steps, and one of dims * (dims + 1) numbers reaches the driver."""
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = total = None
+        n = 0
+        for batch in batches:
+            if batch.num_rows:
+                x = to_matrix(batch.column(0))
+                gram = x.T @ x if gram is None else gram + x.T @ x
+                total = x.sum(axis=0) if total is None else total + x.sum(axis=0)
+                n += len(x)
+        if gram is not None:
+            yield pa.RecordBatch.from_pydict(
+                {"packed": [np.concatenate([[float(n)], total, gram.ravel()])]})
+
+    parts = df.select(vec).mapInArrow(accumulate, "packed array<double>")
+    for slot in (F.spark_partition_id() % 64, F.lit(0)):
+        parts = (parts.groupBy(slot.alias("slot"))
+                 .agg(Summarizer.sum(array_to_vector("packed")).alias("s"))
+                 .select(vector_to_array("s").alias("packed")))
+    row = parts.first()
+    if row is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    n, x = int(row.packed[0]), np.array(row.packed[1:])
+    dims = math.isqrt(len(x))
+    mean = x[:dims] / n
+    return n, mean, x[dims:].reshape(dims, dims) / n - np.outer(mean, mean)
+
+
+def principal_axes(covariance: np.ndarray, k: int) -> tuple[np.ndarray, list[float]]:
+    """The k axes of largest variance (rows) and their shares. An axis points to where its entry
+    of largest size (of equal ones the first) is positive."""
+    values, vectors = np.linalg.eigh(covariance)
+    axes = vectors[:, ::-1][:, :k].T
+    top = np.argmax(np.round(np.abs(axes), 12), axis=1)
+    axes = axes * np.sign(axes[np.arange(len(axes)), top])[:, None]
+    total = float(np.trace(covariance))
+    return axes, [float(max(v, 0.0) / total) if total > 0 else 0.0 for v in values[::-1][:k]]
+
+
 def project(df: DataFrame, dims: int = 2, *, vec: str = "embedding",
             out: str = "coords") -> tuple[DataFrame, list[float]]:
-    """(rows with ``dims`` principal-component coordinates, explained variance shares)."""
-    ready = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
-    fitted = PCA(k=dims, inputCol="_v", outputCol="_p").fit(ready)
-    return (fitted.transform(ready).withColumn(out, vector_to_array("_p")).drop("_v", "_p"),
-            [float(x) for x in fitted.explainedVariance])
+    """(rows with ``dims`` principal-component coordinates around the mean, explained variance
+    shares). Signs are fixed by ``principal_axes``; NaN and infinities count as 0."""
+    n, mean, covariance = second_moments(df, vec)
+    if n == 0:
+        return df.withColumn(out, F.array().cast("array<double>")), []
+    if not 1 <= dims <= len(mean):
+        raise ValueError("dims must be between 1 and the vectors' length")
+    axes, shares = principal_axes(covariance, dims)
+    x = sanitize_vectors(vec)
+
+    def along(axis: np.ndarray) -> Column:
+        parts = F.zip_with(x, F.lit([float(a) for a in axis]), lambda a, b: a * b)
+        return F.aggregate(parts, F.lit(-float(mean @ axis)), lambda total, y: total + y)
+    return df.withColumn(out, F.array(*[along(a) for a in axes])), shares
 
 
 def mean_pool(df: DataFrame, group_cols: Sequence[str], vec: str = "embedding",
               weight: str | None = None, out: str = "embedding") -> DataFrame:
     """Weighted mean vector per group; the total weight is floored at 1e-9."""
-    from pyspark.ml.stat import Summarizer
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     scaled = F.transform(F.col(vec).cast("array<double>"), lambda x: x * F.col("_w"))
     parts = (df.withColumn("_w", w).withColumn("_v", array_to_vector(scaled))

@@ -181,3 +181,35 @@ def dataset_checks(df: DataFrame, text_col: str, fields: Sequence[str], min_char
         F.min(size).cast("long").alias("min_chars"),
         F.max(size).cast("long").alias("max_chars"),
         F.round(F.avg(size), 6).alias("mean_chars")))
+
+
+#: Size parameter of the length sketches; a quantile's rank is off by at most SKETCH_ERROR of the
+#: rows (with 99 % confidence), and exact up to about SKETCH_SIZE rows.
+SKETCH_SIZE, SKETCH_ERROR = 4096, 0.0013
+
+
+def length_sketches(df: DataFrame, text_col: str, part_cols: Sequence[str] = ()) -> DataFrame:
+    """(parts, n, min_chars, max_chars, sketch): the text lengths of each part of the table as a
+    mergeable quantile sketch (KLL) of a few dozen kilobytes. Null texts don't count.
+
+    Store the rows of each new load: ``length_quantiles`` merges what is stored, so checks of a
+    growing table read the new texts only. Tasks sketch their own rows; a hot part is combined
+    before the shuffle.
+    """
+    size = F.length(text_col).cast("long")
+    return df.filter(size.isNotNull()).groupBy(*part_cols).agg(
+        F.count(F.lit(1)).alias("n"), F.min(size).alias("min_chars"),
+        F.max(size).alias("max_chars"), F.kll_sketch_agg_bigint(size, SKETCH_SIZE).alias("sketch"))
+
+
+def length_quantiles(sketches: DataFrame, shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95),
+                     group_cols: Sequence[str] = ()) -> DataFrame:
+    """(groups, share, n_chars, n): length quantiles over stored sketches, merged by group. A value
+    has a rank within SKETCH_ERROR of its share; no sketches: no rows."""
+    merged = sketches.filter("n > 0").groupBy(*group_cols).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", SKETCH_SIZE).alias("sketch"))
+    rows = merged.filter("n > 0").select(*group_cols, "n", F.explode(F.array(*[
+        F.struct(F.lit(float(q)).alias("share"),
+                 F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q))).alias("n_chars"))
+        for q in shares])).alias("q"))
+    return rows.select(*group_cols, "q.share", "q.n_chars", "n")

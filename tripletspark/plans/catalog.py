@@ -391,6 +391,24 @@ def c6_dataset_checks(spark: SparkSession, sf: str) -> DataFrame:
     return quality.dataset_checks(_labelled(spark, sf), "text", ["text", "quality"], 50, 10000)
 
 
+@query
+def c6_length_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Length quantiles by language from sketches of two loads, stored and merged, and whether
+    their exact rank is within the stated bound."""
+    path, d = scratch_path(spark, "sketches"), docs(spark, sf)
+    for load in (d.filter("doc_id % 3 = 0"), d.filter("doc_id % 3 <> 0")):
+        quality.length_sketches(load, "text", ["lang", "source"]).write.mode("append").parquet(path)
+    got = quality.length_quantiles(spark.read.parquet(path), group_cols=["lang"])
+    ranks = (d.select("lang", F.length("text").alias("size")).join(F.broadcast(got), "lang")
+             .groupBy("lang", "share", "n", "n_chars")
+             .agg(F.count_if(F.col("size") < F.col("n_chars")).alias("below"),
+                  F.count_if(F.col("size") <= F.col("n_chars")).alias("upto")))
+    slack = quality.SKETCH_ERROR * F.col("n") + 1
+    return ranks.select("lang", "share", "n", (
+        (F.col("below") <= F.col("share") * F.col("n") + slack)
+        & (F.col("upto") >= F.col("share") * F.col("n") - slack)).alias("within_bound"))
+
+
 # ------------------------------------------------------------ D deduplication and merging
 
 @query
@@ -475,8 +493,8 @@ def f1_embed_callable(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def f1_embed_default(spark: SparkSession, sf: str) -> DataFrame:
     d = models.embed_default(docs(spark, sf).select("doc_id", "text"), "text", dims=128)
-    return d.select("doc_id", F.size("embedding").alias("dims"),
-                    F.round(vx.norm("embedding"), 4).alias("norm"))
+    cells = d.select("doc_id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0")
+    return rounded(cells)
 
 
 @query
@@ -562,8 +580,8 @@ def f9_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def f10_project(spark: SparkSession, sf: str) -> DataFrame:
     coords, _ = models.project(vecs(spark, sf), 2)
-    return coords.select("vec_id", r6(F.abs(F.col("coords")[0])).alias("x"),
-                         r6(F.abs(F.col("coords")[1])).alias("y"))
+    return rounded(coords.select("vec_id", F.col("coords")[0].alias("x"),
+                                 F.col("coords")[1].alias("y")))
 
 
 # --------------------------------------------------------------- G negatives and triplets
@@ -926,6 +944,20 @@ def i6_assign_batches(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.assign_batches(docs(spark, sf).select("doc_id"), 8, "doc_id")
 
 
+@query
+def i6_assign_batches_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches in the order of a text column that repeats, ties by doc_id."""
+    return indexing.assign_batches(docs(spark, sf).select("doc_id", "lang"), 50, "lang",
+                                   chunks=16, tie_cols=["doc_id"])
+
+
+@query
+def i6_global_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank of every document by its whole text."""
+    return indexing.global_rank(docs(spark, sf).select("doc_id", "text"), ["text", "doc_id"],
+                                chunks=16).select("doc_id", "rank")
+
+
 # --------------------------------------------------------------- J pairs and query sets
 
 @query

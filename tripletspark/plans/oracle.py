@@ -78,6 +78,38 @@ CELLS = f"""{SIM},
         FROM sim JOIN home USING (d) JOIN near ON near.vec_id = q AND near.cell = home.cell
         WHERE q % 50 = 0 AND place <= (SELECT probes FROM opened) QUALIFY rank <= 10)"""
 
+# Principal axes by squaring the covariance until one direction is left, then of what remains.
+def _axis(name: str, matrix: str) -> str:
+    """CTE ``name`` (a): the direction of largest variance of the one-row table ``matrix`` (m);
+    its entry of largest size is positive."""
+    return f"""
+    {name}_p AS (SELECT 0 AS k, m FROM {matrix} UNION ALL
+        SELECT k + 1, list_transform(m, lambda r: list_transform(m, lambda s:
+            list_dot_product(r, s) / list_max(list_transform(m, lambda t: list_dot_product(t, t)))))
+        FROM {name}_p WHERE k < 24),
+    {name}_r AS (SELECT m[list_position(d, list_max(d))] AS r FROM (SELECT m,
+        list_transform(m, lambda t: list_dot_product(t, t)) AS d FROM {name}_p WHERE k = 24)),
+    {name} AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * sign(
+        r[list_position(list_transform(r, lambda y: abs(y)), list_max(list_transform(r,
+            lambda y: abs(y))))])) AS a FROM {name}_r)"""
+
+
+PCA = f"""{EMB},
+    cell AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM emb),
+    middle AS (SELECT i, avg(x) AS mu FROM cell GROUP BY i),
+    centred AS (SELECT vec_id, i, x - mu AS x FROM cell JOIN middle USING (i)),
+    cov AS (SELECT x.i, y.i AS j, sum(x.x * y.x) / (SELECT count(*) FROM emb) AS c
+        FROM centred x JOIN centred y USING (vec_id) GROUP BY x.i, y.i),
+    cov_row AS (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i),
+    cov1 AS (SELECT list(r ORDER BY i) AS m FROM cov_row),
+    {_axis("first_axis", "cov1")},
+    share AS (SELECT list_dot_product(a, list_transform(m, lambda r: list_dot_product(r, a)))
+        AS l FROM cov1, first_axis),
+    cov2_row AS (SELECT i, list(c - l * a[i] * a[j] ORDER BY j) AS r
+        FROM cov, first_axis, share GROUP BY i),
+    cov2 AS (SELECT list(r ORDER BY i) AS m FROM cov2_row),
+    {_axis("second_axis", "cov2")}"""
+
 # Hard negatives: every pair, its walk position, its band; then the three cases.
 MINED = f"""{SIM},
     {_walk("embeddings", "vec_id", 1)},
@@ -346,6 +378,9 @@ ORACLE: dict[str, str] = {
         WHERE toxic = 0 AND quality = 1 AND trim(text) <> ''""",
     "c5_remaining": """SELECT doc_id, lang FROM documents
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "c6_length_distribution": """SELECT lang, share::DOUBLE AS share, count(text) AS n,
+        true AS within_bound FROM documents,
+        (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS share) GROUP BY lang, share""",
     "c6_dataset_checks": """
         SELECT count(*) AS n_rows, count(*) FILTER (text IS NULL OR text = '') AS missing_text,
             count(*) FILTER (quality IS NULL OR quality = 0) AS missing_quality,
@@ -432,6 +467,20 @@ ORACLE: dict[str, str] = {
             round(sum(w * x) / greatest(sum(w), 1e-9), 6) AS value
         FROM u GROUP BY label, pos""",
 
+    "f1_embed_default": """
+        WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w
+            FROM documents),
+        tf AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 128 AS dim,
+            sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END) AS tf
+            FROM words GROUP BY ALL),
+        idf AS (SELECT dim, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf
+            FROM tf GROUP BY dim),
+        raw AS (SELECT doc_id, dim, tf * idf AS x FROM tf JOIN idf USING (dim))
+        SELECT doc_id, dim, round((x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 6)
+            AS value FROM raw WHERE x <> 0""",
+    "f10_project": f"""WITH RECURSIVE {PCA}
+        SELECT vec_id, round(sum(x * p.a[i]), 6) AS x, round(sum(x * q.a[i]), 6) AS y
+        FROM centred, first_axis p, second_axis q GROUP BY vec_id""",
     "f11_approx_topk": f"""WITH {CELLS}
         SELECT q AS query_id, rank, d AS doc_id, s AS score FROM approx""",
     "f11_index_exact": f"""WITH {CELLS}
@@ -666,6 +715,10 @@ ORACLE: dict[str, str] = {
             arg_min(step_no, (loss, step_no)) + 1 AS best_step
         FROM s JOIN st ON st.run_id = s.run_id AND (stop IS NULL OR st.step_no <= stop)
         GROUP BY s.run_id""",
+    "i6_assign_batches_text": """SELECT doc_id, lang,
+        (row_number() OVER (ORDER BY lang NULLS FIRST, doc_id) - 1) // 50 AS batch FROM documents""",
+    "i6_global_rank": """SELECT doc_id,
+        row_number() OVER (ORDER BY text NULLS FIRST, doc_id) - 1 AS rank FROM documents""",
     "i6_assign_batches": """SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch
         FROM documents""",
 
