@@ -56,6 +56,31 @@ def test_hard_negatives_partly_filled(spark, options):
     assert triples(ng.hard_negatives(df, 40, 0.9, 0.95, **options)) == brute(m, 40, 0.9, 0.95)
 
 
+@pytest.mark.parametrize("lo, hi", [(0.3, 0.5), (0.9, 0.999), (-0.2, -0.1)])
+def test_bounds_leave_cells_out(spark, monkeypatch, lo, hi):
+    """On clustered vectors the second phase meets a part of the blocks, with the full result for
+    rows that find enough, too little and nothing in the band."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(9, 12))
+    m = (np.repeat(centers, 30, axis=0) + rng.normal(size=(270, 12)) * 0.08).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)],
+                               "id long, embedding array<float>")
+    met, whole = [], ng.meet
+
+    def meet(routed, blocks):
+        met.append(routed.count())
+        return whole(routed, blocks)
+    def build(*args):
+        built.append(cells(*args))
+        return built[-1]
+    built, cells = [], ng.build_cells
+    monkeypatch.setattr(ng, "meet", meet)
+    monkeypatch.setattr(ng, "build_cells", build)
+    got = triples(ng.hard_negatives(df, 4, lo, hi, block_rows=10, prefix_blocks=1))
+    assert got == brute(m.astype(float), 4, lo, hi)
+    assert met and sum(met) < 0.6 * 270 * sum(built[0].blocks)
+
+
 def star(spark, sims):
     """Row 0 has the given cosines to rows 1.."""
     rows = [(0, [1.0] + [0.0] * len(sims))]

@@ -14,7 +14,8 @@ from tripletspark.operators.metrics import similarity_stats
 from tripletspark.operators.quality import drop_legacy
 from tripletspark.operators.sampling import first_offset, random_partners
 from tripletspark.operators.similarity import (
-    DECIMALS, all_blocks, best_k, block_of, join_blocks, to_matrix, to_unit,
+    DECIMALS, all_blocks, best_k, block_of, build_cells, chunk_queries, join_blocks, meet,
+    place_in_blocks, route, to_matrix, to_unit,
 )
 from tripletspark.session import cut_lineage
 
@@ -71,8 +72,10 @@ def hard_negatives(df: DataFrame, n: int, lo: float = 0.2, hi: float = 0.4, seed
     "Random" is a walk: each row visits all others in its own cyclic pseudo-random order
     and takes the first n it meets in the band, which is a uniform choice from R. Most rows
     are done after a few blocks, so the first phase compares a row with ``prefix_blocks``
-    blocks only, at linear cost. Rows that have not found n by then go through all blocks
-    in the second phase, which returns bounded candidate lists.
+    blocks only, at linear cost. Rows that have not found n by then meet, in the second phase,
+    the cells (rows around a pivot) whose cosines can lie in the band. For the least similar a
+    threshold search follows: the n-th least similar so far rules out every cell whose smallest
+    possible cosine is larger. Candidate lists are bounded.
     The result is the same for any block size and any prefix.
     """
     if n < 1:
@@ -96,10 +99,8 @@ def hard_negatives(df: DataFrame, n: int, lo: float = 0.2, hi: float = 0.4, seed
             "id", "neg_id", "score", F.lit("in_range").alias("source"),
             F.col("pos").alias("rank"))
         open_rows = indexed.join(done, "id", "left_anti")
-        n_open = open_rows.count()
-        chosen = picked if n_open == 0 else picked.unionByName(_full_scan(
-            open_rows, indexed, size, blocks, n_open, n, lo, hi, schema, strict_fill,
-            block_rows))
+        chosen = picked if open_rows.isEmpty() else picked.unionByName(_bounded_scan(
+            open_rows, indexed, size, n, lo, hi, schema, strict_fill, block_rows))
     return chosen.select(F.col("id").alias(id_col), "rank", "neg_id", "score", "source")
 
 
@@ -134,23 +135,15 @@ def _prefix_scan(indexed: DataFrame, size: int, blocks: int, n: int, lo: float,
             .select("id", "neg_id", "score", "pos", "found"))
 
 
-def _full_scan(open_rows: DataFrame, indexed: DataFrame, size: int, blocks: int, n_open: int,
-               n: int, lo: float, hi: float, schema: T.StructType, strict_fill: bool,
-               block_rows: int) -> DataFrame:
-    """All blocks for the given rows: the n first of R and the n least similar of V."""
-    chunks = max(1, -(-n_open // block_rows))
-    left = (open_rows.withColumn("lblk", block_of("a", chunks))
-            .withColumn("rblk", all_blocks(blocks)).drop("blk"))
-    right = (indexed.withColumn("rblk", F.col("blk")).withColumn("lblk", all_blocks(chunks))
-             .drop("blk"))
-
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+def _kernel(size: int, n: int, lo: float, hi: float, schema: T.StructType, with_band: bool):
+    """Of two blocks: the n first of R on each row's walk and its n least similar of V."""
+    def run(lt: pa.Table, rt: pa.Table) -> pa.Table:
         a, b = lt["a"].to_numpy(), rt["a"].to_numpy()
         s = np.round(to_unit(to_matrix(lt["v"])) @ to_unit(to_matrix(rt["v"])).T, DECIMALS)
         other = a[:, None] != b[None, :]
         in_range = (s >= lo) & (s <= hi) & other
         valid = (s >= 0) & ~in_range & other
-        r1, c1, key = _first_met(in_range, lt, b, n, size)
+        r1, c1, key = _first_met(in_range if with_band else in_range & False, lt, b, n, size)
         r2, c2 = _least_similar(s, valid, b, n)
         rows, cols = np.concatenate([r1, r2]), np.concatenate([c1, c2])
         return pa.Table.from_arrays([
@@ -158,8 +151,62 @@ def _full_scan(open_rows: DataFrame, indexed: DataFrame, size: int, blocks: int,
             pa.array(["R"] * len(r1) + ["V"] * len(r2), pa.string()),
             pa.array(np.concatenate([key, b[c2]]), pa.int64()),
             pa.array(s[rows, cols])], names=schema.names)
+    return run
 
-    found = join_blocks(left, right, kernel, schema)
+
+def _full_scan(open_rows: DataFrame, indexed: DataFrame, size: int, blocks: int, n_open: int,
+               n: int, lo: float, hi: float, schema: T.StructType, strict_fill: bool,
+               block_rows: int) -> DataFrame:
+    """All blocks (a few) for the given rows."""
+    chunks = max(1, -(-n_open // block_rows))
+    left = (open_rows.withColumn("lblk", block_of("a", chunks))
+            .withColumn("rblk", all_blocks(blocks)).drop("blk"))
+    right = (indexed.withColumn("rblk", F.col("blk")).withColumn("lblk", all_blocks(chunks))
+             .drop("blk"))
+    found = join_blocks(left, right, _kernel(size, n, lo, hi, schema, True), schema)
+    return _decided(found, n, strict_fill)
+
+
+def _bounded_scan(open_rows: DataFrame, indexed: DataFrame, size: int, n: int, lo: float,
+                  hi: float, schema: T.StructType, strict_fill: bool,
+                  block_rows: int) -> DataFrame:
+    """The cells that can matter to the given rows, in two rounds.
+
+    First each row meets the cells whose bounds meet the band, so R is complete, and the cell
+    that may hold the least similar rows. Its n-th least similar so far is a bound on what is
+    still wanted of V; only rows with too small an R meet further cells, those whose smallest
+    possible cosine is within the bound."""
+    rows = indexed.select("id", "v", "a", "start")
+    cells = build_cells(rows.select("id", "v"), block_rows)
+    right = cut_lineage(place_in_blocks(rows, cells, "rblk").select("id", "v", "a", "rblk"))
+    left = cut_lineage(chunk_queries(open_rows.select("id", "v", "a", "start"), cells, block_rows))
+
+    def first(low: np.ndarray, high: np.ndarray, _) -> np.ndarray:
+        wanted = (high >= lo) & (low <= hi)
+        least = np.where(high >= 0, np.maximum(low, 0), np.inf).argmin(axis=1)
+        wanted[np.arange(len(wanted)), least] = True
+        return wanted
+
+    def rest(low: np.ndarray, high: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        return ~first(low, high, bound) & (high >= 0) & (np.maximum(low, 0) <= bound)
+
+    routed = route(left.withColumn("floor", F.lit(0.0)), cells, first)
+    found = cut_lineage(join_blocks(*meet(routed, right), _kernel(size, n, lo, hi, schema, True),
+                                    schema))
+    place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("score", "key"))
+    so_far = (found.withColumn("_p", place).groupBy("id")
+              .agg(F.count_if(F.col("kind") == "R").alias("_r"),
+                   F.max(F.when((F.col("kind") == "V") & (F.col("_p") == n), F.col("score")))
+                   .alias("_bound")))
+    short = (left.join(so_far, "id", "left").filter(F.coalesce("_r", F.lit(0)) < n)
+             .withColumn("floor", F.coalesce("_bound", F.lit(float("inf")))).drop("_r", "_bound"))
+    more = join_blocks(*meet(route(short.select(*left.columns, "floor"), cells, rest), right),
+                       _kernel(size, n, lo, hi, schema, False), schema)
+    return _decided(found.unionByName(more), n, strict_fill)
+
+
+def _decided(found: DataFrame, n: int, strict_fill: bool) -> DataFrame:
+    """The choice from candidate lists that hold the first n of R and of V of each row."""
     order = Window.partitionBy("id", "kind").orderBy(
         F.when(F.col("kind") == "V", F.col("score")).otherwise(0.0), "key")
     per_row = Window.partitionBy("id")
