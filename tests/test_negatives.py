@@ -73,12 +73,12 @@ def test_bounds_leave_cells_out(spark, monkeypatch, lo, hi):
     def build(*args):
         built.append(cells(*args))
         return built[-1]
-    built, cells = [], ng.build_cells
+    built, cells = [], ng.stored_cells
     monkeypatch.setattr(ng, "meet", meet)
-    monkeypatch.setattr(ng, "build_cells", build)
+    monkeypatch.setattr(ng, "stored_cells", build)
     got = triples(ng.hard_negatives(df, 4, lo, hi, block_rows=10, prefix_blocks=1))
     assert got == brute(m.astype(float), 4, lo, hi)
-    assert met and sum(met) < 0.6 * 270 * sum(built[0].blocks)
+    assert met and sum(met) < 0.6 * 270 * sum(built[0][0].blocks)
 
 
 def star(spark, sims):

@@ -14,8 +14,8 @@ from tripletspark.operators.metrics import similarity_stats
 from tripletspark.operators.quality import drop_legacy
 from tripletspark.operators.sampling import first_offset, random_partners
 from tripletspark.operators.similarity import (
-    DECIMALS, all_blocks, best_k, block_of, build_cells, chunk_queries, join_blocks, meet,
-    place_in_blocks, route, to_matrix, to_unit,
+    DECIMALS, all_blocks, best_k, block_of, chunk_queries, join_blocks, meet, place_in_blocks,
+    route, stored_cells, to_matrix, to_unit,
 )
 from tripletspark.session import cut_lineage
 
@@ -177,9 +177,9 @@ def _bounded_scan(open_rows: DataFrame, indexed: DataFrame, size: int, n: int, l
     still wanted of V; only rows with too small an R meet further cells, those whose smallest
     possible cosine is within the bound."""
     rows = indexed.select("id", "v", "a", "start")
-    cells = build_cells(rows.select("id", "v"), block_rows)
-    right = cut_lineage(place_in_blocks(rows, cells, "rblk").select("id", "v", "a", "rblk"))
-    left = cut_lineage(chunk_queries(open_rows.select("id", "v", "a", "start"), cells, block_rows))
+    cells, placed = stored_cells(rows, block_rows)
+    right = place_in_blocks(placed, cells, "rblk").select("id", "v", "a", "rblk")
+    left = chunk_queries(open_rows.select("id", "v", "a", "start"), cells, block_rows)
 
     def first(low: np.ndarray, high: np.ndarray, _) -> np.ndarray:
         wanted = (high >= lo) & (low <= hi)

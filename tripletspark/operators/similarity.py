@@ -244,22 +244,33 @@ def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(place, schema)
 
 
-def build_cells(corpus: DataFrame, block_rows: int, seed: int = 42) -> Cells | None:
-    """Cells of ``corpus`` (id, v). At most MAX_PIVOTS vectors and cell sizes reach the
-    driver. A cell that holds much of the table is cut into many blocks."""
+def stored_cells(corpus: DataFrame, block_rows: int, seed: int = 42
+                 ) -> tuple[Cells, DataFrame] | None:
+    """Cells of ``corpus`` (id, v, more), and its rows with ``cell`` and ``angle``, placed once and
+    stored. At most MAX_PIVOTS vectors and cell sizes reach the driver. A cell that holds much of
+    the table is cut into many blocks."""
     pivots = min(MAX_PIVOTS, block_count(corpus, block_rows))
     picked = (corpus.select("v", hash_key("id", seed).alias("h"), "id")
               .orderBy("h", "id").limit(pivots).select("v").toArrow())
     if picked.num_rows == 0:
         return None
     matrix = to_unit(to_matrix(picked["v"]))
-    stats = (_with_cell(corpus, matrix).groupBy("cell")
-             .agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r"))
+    placed = cut_lineage(_with_cell(corpus, matrix))
+    stats = (placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r"))
              .orderBy("cell").collect())
     used = [s.cell for s in stats]  # a repeated pivot has no rows of its own
     blocks = [-(-s.n // block_rows) for s in stats]
     first = [0, *np.cumsum(blocks)[:-1].tolist()]
-    return Cells(matrix[used], np.array([s.r for s in stats]), first, blocks)
+    number = {c: k for k, c in enumerate(used)}
+    placed = placed.withColumn(
+        "cell", _lookup([number.get(c, -1) for c in range(len(matrix))]).cast("int"))
+    return Cells(matrix[used], np.array([s.r for s in stats]), first, blocks), placed
+
+
+def build_cells(corpus: DataFrame, block_rows: int, seed: int = 42) -> Cells | None:
+    """Cells of ``corpus`` (id, v)."""
+    found = stored_cells(corpus, block_rows, seed)
+    return found[0] if found else None
 
 
 def _lookup(values: list[int], cell: str = "cell") -> Column:
@@ -271,15 +282,15 @@ def _block_in_cell(first: list[int], blocks: list[int], id_col: str) -> Column:
 
 
 def place_in_blocks(df: DataFrame, cells: Cells, out: str) -> DataFrame:
-    """(id, v, cell, angle, out): the block of each corpus row."""
-    return _with_cell(df, cells.pivots).withColumn(
-        out, _block_in_cell(cells.first_block, cells.blocks, "id"))
+    """(id, v, cell, angle, out): the block of each corpus row, placed here if it isn't yet."""
+    placed = df if "cell" in df.columns else _with_cell(df, cells.pivots)
+    return placed.withColumn(out, _block_in_cell(cells.first_block, cells.blocks, "id"))
 
 
 def chunk_queries(df: DataFrame, cells: Cells, block_rows: int) -> DataFrame:
     """(id, v, cell, angle, lblk): query rows in chunks of bounded size, near queries
-    together."""
-    placed = _with_cell(df, cells.pivots)
+    together. Rows that aren't placed yet are placed once and stored."""
+    placed = df if "cell" in df.columns else cut_lineage(_with_cell(df, cells.pivots))
     counts = {r.cell: r.n for r in placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
     chunks = [max(1, -(-counts.get(c, 0) // block_rows)) for c in range(len(cells.blocks))]
@@ -331,10 +342,11 @@ def _topk_by_blocks(q: DataFrame, c: DataFrame, k: int, schema: T.StructType,
     k-th best score there is a lower bound, and only cells that can beat it come next."""
     queries = q.withColumnRenamed("query_id", "id")
     docs = c.withColumnRenamed("doc_id", "id")
-    cells = build_cells(docs, block_rows)
-    if cells is None:
+    found = stored_cells(docs, block_rows)
+    if found is None:
         return q.sparkSession.createDataFrame([], schema)
-    right = place_in_blocks(docs, cells, "rblk").select("id", "v", "rblk")
+    cells, placed = found
+    right = place_in_blocks(placed, cells, "rblk").select("id", "v", "rblk")
     chunked = chunk_queries(queries, cells, block_rows)
     seed_block = (_lookup(cells.first_block) + F.pmod("lblk", _lookup(cells.blocks))).cast("int")
     chunked = chunked.withColumn("seed", seed_block)
@@ -370,16 +382,17 @@ def similarity_range_counts(df: DataFrame, lo: float, hi: float, *, id_col: str
         T.StructField(n, t) for n, t in (
             ("n", T.LongType()), ("total", T.DoubleType()),
             ("low", T.DoubleType()), ("high", T.DoubleType()))]])
-    cells = build_cells(base, block_rows)
-    if cells is None:
+    found = stored_cells(base, block_rows)
+    if found is None:
         return df.sparkSession.createDataFrame([], T.StructType([
             T.StructField(id_col, base.schema["id"].dataType),
             T.StructField("n_in_range", T.LongType()),
             *[T.StructField(n, T.DoubleType()) for n in ("mean_sim", "min_sim", "max_sim")]]))
-    chunked = chunk_queries(base, cells, block_rows).withColumn("floor", F.lit(lo))
+    cells, placed = found
+    chunked = chunk_queries(placed, cells, block_rows).withColumn("floor", F.lit(lo))
     # Cells whose cosines all lie outside the range are never met.
     left = route(chunked, cells, lambda low, high, floor: (high >= floor) & (low <= hi))
-    right = place_in_blocks(base, cells, "rblk").select("id", "v", "rblk")
+    right = place_in_blocks(placed, cells, "rblk").select("id", "v", "rblk")
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
         li, ri = to_ids(lt["id"]), to_ids(rt["id"])
@@ -472,20 +485,32 @@ def self_similarity(df: DataFrame, *, id_col: str = "id", vec: str = "embedding"
     return weighted_stats(hist, "sim", "n", above=above)
 
 
+STRATEGIES = ("hardest", "semi-hard", "random")
+
+
 def ranked_negatives(df: DataFrame, n: int, strategy: str = "hardest", top_k: int = 50, *,
                      id_col: str = "id", vec: str = "embedding", seed: int = 42,
                      **options) -> DataFrame:
-    """(id, rank, neg_id, score): n of the top_k most similar other rows.
+    """(id, rank, neg_id, score): n of the top_k most similar other rows, as ``pick_ranked``
+    takes them."""
+    if not 1 <= n <= top_k:
+        raise ValueError("need 1 <= n <= top_k")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    hits = mips_topk(df, df, top_k, query_id=id_col, doc_id=id_col, vec=vec,
+                     exclude_self=True, **options)
+    return pick_ranked(hits, n, strategy, id_col=id_col, seed=seed)
+
+
+def pick_ranked(hits: DataFrame, n: int, strategy: str, *, id_col: str = "id",
+                seed: int = 42) -> DataFrame:
+    """(id, rank, neg_id, score) from ranked hits, which several strategies can share.
 
     ``hardest`` takes ranks 1..n, ``semi-hard`` the n ranks around the middle of the list,
     ``random`` the first n in hash order.
     """
-    if strategy not in ("hardest", "semi-hard", "random"):
+    if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
-    if not 1 <= n <= top_k:
-        raise ValueError("need 1 <= n <= top_k")
-    hits = mips_topk(df, df, top_k, query_id=id_col, doc_id=id_col, vec=vec,
-                     exclude_self=True, **options)
     per_query = Window.partitionBy("query_id")
     if strategy == "hardest":
         kept = hits.filter(F.col("rank") <= n)

@@ -18,7 +18,7 @@ from tripletspark.operators import approx, indexing, metrics, monitor, negatives
 from tripletspark.operators import retrieval, sampling, similarity, triplets
 from tripletspark.operators import models
 from tripletspark.plans.stages import Stage, run_stages
-from tripletspark.session import scratch_path
+from tripletspark.session import cut_lineage, scratch_path
 from tripletspark.sources import files, sinks, synthetic
 from tripletspark.sources.cache import EmbeddingCache
 from tripletspark.streaming.incremental import incremental_process, processed
@@ -80,24 +80,27 @@ def a1_scan_source_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a2_scan_parquet(spark: SparkSession, sf: str) -> DataFrame:
-    return files.scan_parquet(spark, f"{sf}/documents.parquet",
-                              "doc_id long, lang string, n_chars long")
+    d = files.scan_parquet(spark, f"{sf}/documents.parquet",
+                           "doc_id long, text string, lang string, n_chars long")
+    return d.select("doc_id", digest("text").alias("text_md5"), "lang", "n_chars")
 
 
 @query
 def a3_scan_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "jsonl")
     labels = table(spark, sf, "labels")
-    lines = (docs(spark, sf).select(F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("value"))
+    lines = (docs(spark, sf).select(F.to_json(F.struct("doc_id", "text", "lang", "n_chars")).alias("value"))
              .unionByName(labels.filter("toxic = 1").select(
                  F.concat(F.lit('{"doc_id": '), F.col("doc_id")).alias("value")))
              .unionByName(labels.filter("quality = 0").select(F.lit("  ").alias("value"))))
     lines.write.text(path)
-    good, bad = files.scan_jsonl(spark, path, "doc_id long, lang string, n_chars long",
-                                 "skip_bad")
-    return good.select(F.lit("good").alias("side"), "doc_id", "lang", "n_chars").unionByName(
+    good, bad = files.scan_jsonl(spark, path,
+                                 "doc_id long, text string, lang string, n_chars long", "skip_bad")
+    return good.select(F.lit("good").alias("side"), "doc_id", digest("text").alias("text_md5"),
+                       "lang", "n_chars").unionByName(
         bad.select(F.lit("rejected").alias("side"),
                    F.regexp_extract("value", r"(\d+)", 1).cast("long").alias("doc_id"),
+                   F.lit(None).cast("string").alias("text_md5"),
                    F.lit(None).cast("string").alias("lang"),
                    F.lit(None).cast("long").alias("n_chars")))
 
@@ -126,12 +129,11 @@ def a6_sink_jsonl(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def a7_append_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "jsonl")
-    d = docs(spark, sf).select("doc_id", "lang", "n_chars")
+    d = docs(spark, sf).select("doc_id", "text", "lang", "n_chars")
     sinks.append_jsonl(d.filter("lang = 'en'"), path)
     sinks.append_jsonl(d.filter("lang <> 'en'"), path)
-    good, _ = files.scan_jsonl(spark, path, "doc_id long, lang string, n_chars long")
-    return good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
-                                    F.sum("n_chars").alias("n_chars"))
+    good, _ = files.scan_jsonl(spark, path, "doc_id long, text string, lang string, n_chars long")
+    return good.select("doc_id", digest("text").alias("text_md5"), "lang", "n_chars")
 
 
 @query
@@ -307,9 +309,10 @@ def b9_render_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def b10_similarity_band(spark: SparkSession, sf: str) -> DataFrame:
-    s = r6(F.abs(F.element_at(F.col("embedding"), 1).cast("double")) * 4)
-    return (vecs(spark, sf).select("vec_id", s.alias("s"))
-            .select("vec_id", "s", tx.similarity_band("s").alias("band"),
+    v = vecs(spark, sf)
+    hits = similarity.mips_topk(v, v, 5, query_id="vec_id", doc_id="vec_id")
+    return (hits.select("query_id", "doc_id", r6("score").alias("s"))
+            .select("query_id", "doc_id", "s", tx.similarity_band("s").alias("band"),
                     tx.result_badge("s").alias("badge"), tx.quality_grade("s").alias("grade")))
 
 
@@ -640,9 +643,11 @@ def g2_hybrid_negatives(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def g3_ranked_negatives(spark: SparkSession, sf: str) -> DataFrame:
     v = vecs(spark, sf)
+    hits = cut_lineage(similarity.mips_topk(v, v, 20, query_id="vec_id", doc_id="vec_id",
+                                            exclude_self=True))
     return rounded(metrics.union_all([
-        similarity.ranked_negatives(v, 3, s, 20, id_col="vec_id")
-        .withColumn("strategy", F.lit(s)) for s in ("hardest", "semi-hard", "random")]))
+        similarity.pick_ranked(hits, 3, s, id_col="vec_id").withColumn("strategy", F.lit(s))
+        for s in similarity.STRATEGIES]))
 
 
 @query

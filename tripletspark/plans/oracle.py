@@ -257,16 +257,15 @@ ORACLE: dict[str, str] = {
             sum(length(t) - length(replace(t, chr(10), '')) + 1)::BIGINT AS n_lines
         FROM (SELECT lang, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))
             AS t FROM documents) GROUP BY lang""",
-    "a2_scan_parquet": "SELECT doc_id, lang, n_chars FROM documents",
+    "a2_scan_parquet": "SELECT doc_id, md5(text) AS text_md5, lang, n_chars FROM documents",
     "a3_scan_jsonl": """
-        SELECT 'good' AS side, doc_id, lang, n_chars FROM documents
-        UNION ALL SELECT 'rejected', doc_id, NULL, NULL FROM labels WHERE toxic = 1""",
+        SELECT 'good' AS side, doc_id, md5(text) AS text_md5, lang, n_chars FROM documents
+        UNION ALL SELECT 'rejected', doc_id, NULL, NULL, NULL FROM labels WHERE toxic = 1""",
     "a4_head": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100",
     "a5_sink_parquet": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "a6_sink_jsonl": """SELECT doc_id, md5(text) AS text_md5, quality::BIGINT AS quality
         FROM documents LEFT JOIN labels USING (doc_id)""",
-    "a7_append_jsonl": """SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars
-        FROM documents GROUP BY lang""",
+    "a7_append_jsonl": "SELECT doc_id, md5(text) AS text_md5, lang, n_chars FROM documents",
     "a8_convert": "SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM labels",
     "a9_log_run": """SELECT 'r1' AS run_id, sum(quality)::VARCHAR AS final_metric_value,
         NULL::VARCHAR AS notes, NULL::VARCHAR AS llm_model FROM labels
@@ -348,9 +347,11 @@ ORACLE: dict[str, str] = {
     "b9_render_messages": """
         SELECT conv_id, turn, md5('system:Answer as {role}.|user:' || text) AS two_md5,
             md5('user:CODE ' || text || ' GOOD ' || role) AS one_md5 FROM conversations""",
-    "b10_similarity_band": """
-        WITH x AS (SELECT vec_id, round(abs(embedding[1]::DOUBLE) * 4, 6) AS s FROM embeddings)
-        SELECT vec_id, s,
+    "b10_similarity_band": f"""WITH {EMB},
+        x AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
+            round(list_cosine_similarity(a.v, b.v), 6) AS s FROM emb a, emb b
+            QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) <= 5)
+        SELECT query_id, doc_id, s,
             CASE WHEN s > 0.6 THEN 'high' WHEN s > 0.4 THEN 'medium' ELSE 'low' END AS band,
             CASE WHEN s >= 0.7 THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS badge,
             CASE WHEN s > 0.6 THEN 'bad' WHEN s > 0.5 THEN 'medium' ELSE 'good' END AS grade

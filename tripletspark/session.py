@@ -8,9 +8,9 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,17 +55,42 @@ def stored(spark: SparkSession, path: str, schema: str | StructType | None = Non
         return None
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 128 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: a side beyond the bound is shuffled. ``df``
-    holds narrow rows and is cheap to count (a checkpoint or a stored table).
+def _bytes_of(kind: DataType, value: Column) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        out = F.lit(16)
+        for f in kind.fields:
+            out = out + F.when(value.isNull(), 0).otherwise(_bytes_of(f.dataType, value[f.name]))
+        return out
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+            each = F.transform(value, lambda x: _bytes_of(kind.elementType, x).cast("long"))
+            return 16 + F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x),
+                                   F.lit(0))
+        return 16 + 8 * F.greatest(F.size(value), F.lit(0))
+    return F.lit(16)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+                       max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting rows and their bytes: a side beyond either bound is
+    shuffled. ``df`` is cheap to count (a checkpoint or a stored table).
 
     Waiting for AQE to switch is too late here, because the wide side of the join would be
     written to its shuffle meanwhile.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.lit(0)
+    for f in df.schema.fields:
+        size = size + _bytes_of(f.dataType, F.col(f"`{f.name}`"))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                      F.sum(size.cast("long")).alias("b")).first()
+    small = seen.n <= max_rows and (seen.b or 0) <= max_bytes
+    return F.broadcast(df) if small else df
 
 
 _shipped: set[str] = set()

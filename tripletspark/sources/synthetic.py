@@ -19,7 +19,7 @@ PATTERNS = (
      "The variable is unused."),
     ("char b[4]; strcpy(b, \"hello\");", "The copy overruns the buffer.",
      "The recursion has no base case."),
-    ("int x; printf(\"%d\", x);", "The variable is read before it is set.",
+    ("double sum; for (k = 0; k < m; k++) sum += w[k];", "The variable is read before it is set.",
      "The copy overruns the buffer."),
     ("while (i < 10) { s += i; }", "The loop variable never changes.",
      "The result of malloc is used unchecked."),
@@ -27,7 +27,7 @@ PATTERNS = (
      "The loop variable never changes."),
     ("free(p); p->next = q;", "Memory is used after it was freed.",
      "The file may not have been opened."),
-    ("return a / b;", "The divisor may be zero.", "Memory is used after it was freed."),
+    ("mean = total / count_lines(log);", "The divisor may be zero.", "Memory is used after it was freed."),
 )
 
 
