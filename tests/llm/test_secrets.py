@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import random
 import re
 
+import pytest
+
 from tests.llm import plain
-from tripletspark.llm.secrets import KINDS, identifier_names, scan_secrets
+from tripletspark.llm.secrets import (
+    KINDS, Novelty, identifier_names, novel_spans, scan_secrets,
+)
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -43,3 +48,44 @@ def test_names_are_counted_over_all_documents(spark):
     df = spark.createDataFrame([(1, "alpha = 1 beta(2) beta = 3"), (2, "beta: 2 gamma"), (3, None)],
                                "doc_id long, text string")
     assert identifier_names(df) == ["alpha", "beta"]
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize(("alphabet", "lengths"), [
+    (LOWER + UPPER + DIGITS + "+/", (16, 20, 32, 64, 128, 400)),
+    (DIGITS + "ABCDEF", (32, 40, 88, 128)), (LOWER, (24, 32, 64)), (LOWER + UPPER, (24, 40)),
+    (DIGITS, (32, 64))], ids=["base64", "hex", "lower", "letters", "digits"])
+def test_recall_by_alphabet_and_length(spark, sf, alphabet, lengths):
+    """Random strings behind real text; nine in ten at least are found at every length."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    rng, novelty = random.Random(7), Novelty(["beta", "alpha"])
+    for n in lengths:
+        found = 0
+        for _ in range(100):
+            text = rng.choice(texts)
+            at = rng.randrange(max(1, len(text) - 300))
+            head = text[at:at + 300] + " Authorization: Bearer "
+            key = "".join(rng.choice(alphabet) for _ in range(n))
+            spans = novel_spans(head + key + " " + text[:80], [], novelty, 0.85, 256)
+            found += (len(head), 3, len(head) + n) in spans
+        assert found >= 90, (n, found)
+
+
+def test_words_in_such_contexts_are_left_alone(spark):
+    """Names, long words, paths and repeats that stand where secrets do."""
+    texts = ["the secret documentation_about_private_keys_and_tokens_v2",
+             "login with a documentationdocumentationhandler session",
+             "token_token_token_token_token_1", "auth/session/login/cookie/user/2024",
+             "password 0000000000000000000000000000000000", "bearer abcabcabcabcabcabcabcabcabc1",
+             "the session id of 20240101-20240102", "client.id: users_by_name_and_password_list"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in scan_secrets(df).collect() if r.n_novel} == {}
+
+
+def test_a_very_long_candidate(spark):
+    rng = random.Random(5)
+    text = "bearer " + "".join(rng.choice(LOWER + UPPER + DIGITS) for _ in range(150_000))
+    df = spark.createDataFrame([(1, text, "x", 0)], "doc_id long, text string, spans string, n_hex int")
+    assert scan_secrets(df).first().spans == f"novel:7:{len(text)}"

@@ -2,8 +2,11 @@
 
 A candidate's novelty is its marginal compressed size: the bytes by which a frame that is primed
 with an identifier dictionary grows when the candidate is put behind its surrounding text. Names,
-words and repeats cost little; random strings cost nearly what they hold. Candidates whose
-context speaks of credentials and whose novelty is high are reported.
+words and repeats cost little; random strings cost nearly what they hold. What they hold depends on
+their alphabet and length (a hexadecimal digit is four bits, and short strings carry a frame's
+cost), so a candidate is measured against random strings of its own alphabet and length behind the
+same text. Candidates whose context speaks of credentials and that cost nearly as much are
+reported.
 
 The texts are scanned in Arrow batches where they lie; nothing is shuffled. The dictionary's
 names are counted over all documents first, narrow and combined before the shuffle, and its
@@ -12,10 +15,13 @@ size is bounded by a parameter.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -32,7 +38,13 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 #: At least 24 digits from the left are what is left of all runs when shorter ones are dropped.
 _HEX = re.compile("[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-_DIGIT = re.compile("[0-9]")
+#: Candidates of letters alone, or without any, are that long at least: long words and numbers.
+SINGLE = 24
+_LETTER = re.compile("[A-Za-z]")
+#: Random strings that a candidate is measured against.
+DRAWS = 4
+#: Symbols that stand together in an alphabet; all others only for themselves.
+_CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
 #: Words that make a context sensitive.
 SENSITIVE = re.compile(
     r"passw|secret|token|api.?key|auth|bearer|credential|private|access.?key|signature|"
@@ -73,10 +85,29 @@ class Novelty:
         self.pack = zstandard.ZstdCompressor(dict_data=primed, write_content_size=False).compress
 
     def __call__(self, around: str, candidate: str) -> float:
-        """Marginal bytes per byte of the candidate."""
+        """Marginal bytes of the candidate, as a share of what random strings cost there."""
         base = around.encode()
-        own = candidate.encode()
-        return (len(self.pack(base + own)) - len(self.pack(base))) / len(own)
+        alone = len(self.pack(base))
+        own = len(self.pack(base + candidate.encode())) - alone
+        alphabet = _alphabet(candidate)
+        random = [len(self.pack(base + _random(alphabet, len(candidate), k))) - alone
+                  for k in range(DRAWS)]
+        return DRAWS * own / max(1, sum(random))
+
+
+def _alphabet(candidate: str) -> str:
+    """The symbols that a random string of this kind would draw from."""
+    found = set(candidate)
+    known = "".join(c for c in _CLASSES if found & set(c))
+    return known + "".join(sorted(found - set("".join(_CLASSES))))
+
+
+@functools.lru_cache(512)
+def _random(alphabet: str, length: int, number: int) -> bytes:
+    """The same string each time for the same arguments."""
+    seed = zlib.crc32(f"{alphabet}:{length}:{number}".encode())
+    letters = np.frombuffer(alphabet.encode(), np.uint8)
+    return letters[np.random.default_rng(seed).integers(0, len(letters), length)].tobytes()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -92,15 +123,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, floor: float,
                 reach: int) -> list[tuple[int, int, int]]:
-    """Strings with digits and letters in a sensitive context that don't compress, and lie in no
-    base span."""
+    """Strings in a sensitive context that don't compress, and lie in no base span."""
     out, taken, k = [], sorted(taken), 0
     ends = 0  # the furthest end of the base spans that begin before the candidate ends
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
         while k < len(taken) and taken[k][0] < e:
             ends, k = max(ends, taken[k][2]), k + 1
-        if ends > s or not _DIGIT.search(m[0]) or m[0].isdigit():
+        if ends > s or (e - s < SINGLE and (m[0].isalpha() or not _LETTER.search(m[0]))):
             continue
         before, after = text[max(0, s - reach):s], text[e:e + reach]
         if (SENSITIVE.search(before[-60:]) or SENSITIVE.search(after[:30])) and \
@@ -118,8 +148,10 @@ def scan_secrets(docs: DataFrame, floor: float = 0.85, reach: int = 256,
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and
     spans (``kind:start:end`` by start, then kind; code points, end exclusive).
 
-    Null and empty texts: no spans. Repeated rows give repeated results. ``names`` are counted
-    from ``docs`` if not given.
+    ``floor``: the share of a random string's cost from which a candidate is reported. Null and
+    empty texts: no spans. Long texts are scanned whole, candidates of any length measured whole.
+    Repeated rows give repeated results, other columns (clashing names too) stay out, an empty
+    table gives no rows. ``names`` are counted from ``docs`` if not given.
     """
     names = identifier_names(docs) if names is None else names
 
