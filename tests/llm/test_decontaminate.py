@@ -67,3 +67,57 @@ def test_leaks_are_found_and_clean_documents_left(spark, sf):
     assert {r.doc_id for r in left.collect()} == {9200 + k for k in range(40)} | {9300, 9301}
     assert dec.contaminated(df, bench.limit(0)).count() == 0
     assert dec.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_every_document_with_every_item(spark):
+    """The whole result on a small table against aligning everything with everything: copies,
+    edits from none to most words, parts, two items in one text, an item said many times. What
+    has no seed (four whole words in a row) is all that may be missing."""
+    rng = random.Random(12)
+    say = lambda n: [f"v{rng.randrange(300)}" for _ in range(n)]
+    items = [say(rng.randint(8, 40)) for _ in range(12)]
+    docs = [say(rng.randint(0, 120)) for _ in range(25)]
+    for k, item in enumerate(items):
+        for share in (0, 0.05, 0.15, 0.3, 0.5):
+            edited = [w if rng.random() >= share else rng.choice(["", "x", f"v{rng.randrange(300)}"])
+                      for w in item]
+            docs.append(say(rng.randint(0, 60)) + [w for w in edited if w] + say(30))
+        docs.append(item[:len(item) * 2 // 3] + say(20) + items[k - 1])
+    docs.append((items[2] + say(1)) * 60)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)],
+                               "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)],
+                                  "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.score * 2 * len(items[r.item_id]))
+           for r in dec.contaminated(df, bench).collect()}
+    want, seedless = {}, 0
+    for i, d in enumerate(docs):
+        runs = {tuple(d[a:a + 4]) for a in range(len(d) - 3)}
+        for k, item in enumerate(items):
+            score = plain_score(item, d)
+            if score >= len(item) and score >= 2 * min(8, len(item)):
+                if runs & {tuple(item[a:a + 4]) for a in range(len(item) - 3)}:
+                    want[i, k] = score
+                else:
+                    seedless += 1
+    assert got == want and len(want) > 60
+    assert seedless <= 0.05 * len(want)
+
+
+def test_memory_is_bounded_by_cells(spark):
+    """An item said thousands of times is one stretch: it is cut into windows that hold every
+    alignment, and few words are aligned together."""
+    n, slack = 30, 8
+    cut = list(dec.windows((0, 0, 100, 90_100), n, slack))
+    assert cut[0][2] == 100 and cut[-1][3] == 90_100
+    assert all(b[2] <= a[3] - 3 * n for a, b in zip(cut, cut[1:], strict=False))
+    assert max(c[3] - c[2] for c in cut) <= 4 * (3 * n + 2 * slack)
+    parts = list(dec.batches_of(cut * 256))
+    assert sum(map(len, parts)) == 256 * len(cut)
+    assert max(len(p) * max(c[3] - c[2] for c in p) for p in parts) <= dec.CELLS
+    item = " ".join(f"w{i}" for i in range(n))
+    df = spark.createDataFrame([(1, (item + " pause ") * 3000), (2, "clean " * 90_000)],
+                               "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = dec.contaminated(df, bench).collect()
+    assert [(r.doc_id, r.item_id, r.score, r.end_word) for r in got] == [(1, 7, 1.0, n)]

@@ -61,6 +61,10 @@ def ngram_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return h ^ (h >> np.uint64(31)), at
 
 
+#: Words, with padding, of the stretches that are aligned together; a longer one goes alone.
+CELLS = 1 << 17
+
+
 class Lookup:
     """Places of sorted keys; most misses end at a table of their high bits."""
 
@@ -174,7 +178,7 @@ class Index:
 def candidates(index: Index, find: Lookup, words: np.ndarray, bounds: np.ndarray,
                slack: int) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, from, to): stretches of words around seeds; those of one item that touch are
-    one."""
+    one, cut into windows where they are long."""
     h, at = ngram_hashes(words, bounds)
     which, key = find(h)
     reps = index.at[key + 1] - index.at[key]
@@ -194,10 +198,35 @@ def candidates(index: Index, find: Lookup, words: np.ndarray, bounds: np.ndarray
             last = (*now, last[2], max(last[3], int(hi[k])))
         else:
             if last:
-                yield last
+                yield from windows(last, len(index.words[last[1]]), slack)
             last = (*now, int(lo[k]), int(hi[k]))
     if last:
-        yield last
+        yield from windows(last, len(index.words[last[1]]), slack)
+
+
+def windows(stretch: tuple[int, int, int, int], n: int, slack: int
+            ) -> Iterator[tuple[int, int, int, int]]:
+    """A long stretch (a text that repeats an item) in windows. A gap costs half of what a match
+    gains, so an alignment of n words that scores at all spans less than 3 n words; windows overlap
+    by that, and each alignment lies whole in one of them."""
+    text, item, lo, hi = stretch
+    overlap = 3 * n + 2 * slack
+    while hi - lo > 4 * overlap:
+        yield text, item, lo, lo + 2 * overlap
+        lo += overlap
+    yield text, item, lo, hi
+
+
+def batches_of(todo: list[tuple[int, int, int, int]]) -> Iterator[list]:
+    """Stretches, shortest first, that are aligned together: at most CELLS words with padding."""
+    part: list = []
+    for c in sorted(todo, key=lambda c: c[3] - c[2]):
+        if part and (len(part) + 1) * (c[3] - c[2]) > CELLS:
+            yield part
+            part = []
+        part.append(c)
+    if part:
+        yield part
 
 
 def _scan(docs: DataFrame, index: Index, floor: float, least: int, slack: int) -> DataFrame:
@@ -210,10 +239,7 @@ def _scan(docs: DataFrame, index: Index, floor: float, least: int, slack: int) -
             found: dict[tuple[int, int], tuple[float, int]] = {}
             for first, group in grouped(batch):
                 words, bounds = word_hashes(group)
-                todo = sorted(candidates(own, find, words, bounds, slack),
-                              key=lambda c: c[3] - c[2])
-                for i in range(0, len(todo), 256):
-                    part = todo[i:i + 256]
+                for part in batches_of(list(candidates(own, find, words, bounds, slack))):
                     scores, ends = align([own.words[c[1]] for c in part],
                                          [words[c[2]:c[3]] for c in part])
                     for (d, k, lo, _), s, e in zip(part, scores.tolist(), ends.tolist(),
@@ -243,7 +269,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, floor: float = 0.5, leas
     (all of a shorter item's). end_word is where the best alignment ends.
 
     Items of fewer than four words, empty and null ones, are no evidence and match nothing; null
-    texts hold nothing. Repeated rows and items give repeated results. Items are taken in blocks
+    texts hold nothing; long texts are searched whole, in bounded windows. Repeated rows and items
+    give repeated results. Items are taken in blocks
     of about ``block_chars`` characters, which bounds what is collected and broadcast.
     """
     rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text",
