@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm import plain
+from tripletspark.llm import packing
 from tripletspark.llm.packing import PieceCache, best_fit, cut, pack
 
 ODD = ["", None, " ", "  ", "a  b", " a\n b \n c", "x<|endoftext|> y  <|endoftext|>", "\u3000 a \xa0 b",
@@ -65,3 +66,31 @@ def test_cut_and_best_fit():
     assert fill.max() <= 100 and fill.sum() == lengths.sum()
     assert len(fill) <= lengths.sum() / 100 * 1.05
     assert [*best_fit(np.zeros(0, np.int64), 10)[2]] == []
+
+
+def test_many_bins_that_cannot_pair(spark, monkeypatch):
+    """A third of all documents have some 700 tokens, so their bins all go up: no task merges more
+    than its bound, no piece is lost, and the number of sequences stays near the least."""
+    rows = [(i, "word " * (700 if i % 3 == 0 else 5 + i % 40)) for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    seen, whole = [], packing._dealt
+
+    def dealt(pooled, most):
+        out = whole(pooled, most)
+        seen.append(out.groupBy("g", "part").count().agg({"count": "max"}).first()[0])
+        return out
+    monkeypatch.setattr(packing, "_dealt", dealt)
+    least = None
+    for most in (200_000, 100):
+        seen.clear()
+        got = pack(df, fan_in=3, merge_most=most).collect()
+        assert max(x or 0 for x in seen) <= (1.4 * most if most == 100 else 600)
+        bins = defaultdict(list)
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for own in bins.values():
+            ends = np.cumsum([n for _, n in sorted(own)])
+            assert [at for at, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 1024
+        assert sorted(r.doc_id for r in got) == list(range(1800))
+        least = least or len(bins)
+        assert len(bins) <= least * 1.02

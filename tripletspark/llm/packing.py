@@ -3,8 +3,9 @@
 Every scan partition tokenizes its texts and packs its pieces best-fit, longest first. Bins that
 are nearly full are finished. Underfull bins go on as items: groups of partitions pool them and
 pack them best-fit again, round by round up a tree, until one group is left. A round's rows are
-a few bins a partition; the pieces themselves are never shuffled, they follow their bin through
-one small join a round.
+mostly a few bins a partition, but where documents of little more than half a sequence abound, all
+their bins go up: groups are counted first, and one of too many bins is dealt to several tasks.
+The pieces themselves are never shuffled, they follow their bin through one small join a round.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripletspark.llm.tables import texts
-from tripletspark.session import cut_lineage
+from tripletspark.session import broadcast_if_small, cut_lineage
 
 CAPACITY = 1024
 END_ID = 2
@@ -176,15 +177,28 @@ def _merge_round(capacity: int):
     return run
 
 
+def _dealt(pooled: DataFrame, most: int) -> DataFrame:
+    """Bins with the part of their group that they are merged in."""
+    large = cut_lineage(pooled.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > most)
+                        .select("g", F.ceil(F.col("n") / most).alias("parts")))
+    if large.isEmpty():
+        return pooled.withColumn("part", F.lit(0))
+    parts = F.coalesce("parts", F.lit(1))
+    return pooled.join(broadcast_if_small(large), "g", "left").select(
+        "g", "bin", "fill", F.pmod(F.xxhash64("bin"), parts).alias("part"))
+
+
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY,
          end_id: int = END_ID, slack: float = 0.01, fan_in: int = 8,
-         most: int = 200_000) -> DataFrame:
+         most: int = 200_000, merge_most: int = 200_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``end_id``; only documents over ``capacity`` are cut. A partition
     packs ``most`` pieces at a time, which bounds its memory. Round r of the tree (r = 0 in the
-    scan) finishes the bins filled to 1 - ``slack`` * 4**r, and from half full on at last, so
-    few go up; the others go on as items. ``fan_in`` groups meet in each round. Null and empty
+    scan) finishes the bins filled to 1 - ``slack`` * 4**r, and from half full on at last; the
+    others go on as items. ``fan_in`` groups meet in each round, at most about ``merge_most`` bins
+    in one task: a larger group is dealt out by the bins' hashes, at the cost of a few sequences
+    a task. Long texts are encoded whole. Null and empty
     texts: one piece that holds the end id. Null doc_ids and repeated rows are packed as any
     other. No documents: no rows.
     """
@@ -198,8 +212,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPAC
     while width < parts or not level:
         bins = bins.where(F.col("fill") < capacity * (1 - min(0.5, slack * 4 ** level)))
         level, width = level + 1, width * fan_in
+        pooled = cut_lineage(bins.withColumn("g", F.floor(F.col("bin") / PER_PARTITION / width)))
         moved = cut_lineage(
-            bins.withColumn("g", F.floor(F.col("bin") / PER_PARTITION / width)).groupBy("g")
+            _dealt(pooled, merge_most).groupBy("g", "part")
             .applyInPandas(_merge_round(capacity), "bin long, into long, shift long, fill long"))
         step = moved.select("bin", "into", "shift")
         if placed is None:
