@@ -49,7 +49,7 @@ def test_lines_within_the_threshold_share_a_key():
 def check(spark, sf, extra, **limits):
     docs = plain.documents(spark, sf, extra).where("doc_id is null or doc_id >= 9000")
     got = ln.line_classes(docs, **limits).collect()
-    small, near = limits.get("min_chars", 16), limits.get("near_chars", 48)
+    small, near = limits.get("min_chars", ln.MIN_CHARS), limits.get("near_chars", ln.NEAR_CHARS)
     rows = [(d, k, ln.normal(x)) for d, t in {(r.doc_id, r.text or "") for r in docs.collect()}
             for k, x in enumerate(t.split("\n")) if ln.normal(x)]
     known = sorted({x for _, _, x in rows if len(x) >= small})

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+
+import pytest
 
 from tripletspark.llm.urls import RULES, judge_urls, viterbi
 
@@ -60,3 +64,40 @@ def test_viterbi():
     counts = {"cheap": 9, "pills": 5, "che": 2, "ap": 3, "pill": 4, "s": 1}
     assert viterbi("cheappills", counts, 24) == ["cheap", "pills"]
     assert viterbi("", counts, 24) == [] and "".join(viterbi("qqzz", counts, 24)) == "qqzz"
+
+
+def test_scores_against_plain_naive_bayes(spark, sf):
+    """Counts, segmentation and weights over the whole table, an address at a time."""
+    pages = [(r.page_id, r.url, r.html)
+             for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    pages += [(9000 + i, u, "cheap pills <b>win</b> win") for i, u in enumerate(URLS)]
+    words = Counter()
+    for _, _, html in pages:
+        words.update(re.findall("[a-z]{1,20}", re.sub("<[^>]*>", " ", html or "").lower()))
+    total = sum(words.values()) + 1
+
+    def tokens(url):
+        host, path = parse(url)
+        own = [f"h:{w}" for label in re.split("[^a-z]+", host) if label
+               for w in viterbi(label, words, total)]
+        low = "".join(c.lower() if c.isascii() else c for c in path)
+        return own + [f"p:{w}" for w in re.split("[^a-z#]+", re.sub("[0-9]+", " # ", low)) if w]
+    good, bad = Counter(), Counter()
+    for _, url, _ in pages:
+        verdict = rule_of(*parse(url))[2]
+        if verdict:
+            (good if verdict == "allow" else bad).update(tokens(url))
+    kinds = len(set(good) | set(bad))
+    shift = math.log((sum(good.values()) + kinds + 1) / (sum(bad.values()) + kinds + 1))
+    want = {}
+    for page, url, _ in pages:
+        known = [t for t in tokens(url) if t in good or t in bad]
+        want[page] = sum(math.log((bad[t] + 1) / (good[t] + 1)) + shift for t in known)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = judge_urls(df).collect()
+    assert len(rows) == len(pages)
+    address = {page: url for page, url, _ in pages}
+    for r in rows:
+        assert r.score == pytest.approx(want[r.page_id], abs=1e-5)
+        verdict = rule_of(*parse(address[r.page_id]))[2]
+        assert r.verdict == (verdict or ("block" if round(want[r.page_id], 6) > 0 else "allow"))
