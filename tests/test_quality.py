@@ -114,6 +114,21 @@ def test_dataset_checks(spark):
     assert (r.n_rows, r.missing_t, r.n_too_short, r.n_too_long, r.n_repeated) == (4, 2, 1, 2, 1)
 
 
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    """Texts, bytes, nested fields, nulls and clashing names count; a few long rows are too much."""
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    df = spark.createDataFrame(
+        [(i, "x" * 1000, None, [["ab"] * 3], (1, "y" * 500)) for i in range(50)],
+        "id int, t string, b binary, l array<array<string>>, s struct<n: int, u: string>")
+    assert hinted(broadcast_if_small(df)) and hinted(broadcast_if_small(df, 50))
+    assert not hinted(broadcast_if_small(df, 49))
+    assert not hinted(broadcast_if_small(df, max_bytes=50_000))
+    assert hinted(broadcast_if_small(df, max_bytes=100_000))
+    assert not hinted(broadcast_if_small(df.select("s"), max_bytes=20_000))
+    assert hinted(broadcast_if_small(df.select("id", F.lit(1).alias("id"))))
+    assert hinted(broadcast_if_small(df.limit(0)))
+
+
 def test_length_sketches_merge_within_the_bound(spark, tmp_path):
     """Loads stored one after the other; ranks against all lengths; null texts, no rows."""
     path = str(tmp_path / "sketches")

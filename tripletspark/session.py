@@ -84,10 +84,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
     Waiting for AQE to switch is too late here, because the wide side of the join would be
     written to its shuffle meanwhile.
     """
+    named = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])  # names may clash
     size = F.lit(0)
-    for f in df.schema.fields:
-        size = size + _bytes_of(f.dataType, F.col(f"`{f.name}`"))
-    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+    for f in named.schema.fields:
+        size = size + _bytes_of(f.dataType, F.col(f.name))
+    seen = named.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
                                       F.sum(size.cast("long")).alias("b")).first()
     small = seen.n <= max_rows and (seen.b or 0) <= max_bytes
     return F.broadcast(df) if small else df
