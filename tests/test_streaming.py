@@ -165,3 +165,20 @@ def test_live_monitor_on_a_table(spark):
                                "ts timestamp, v double")
     sliding = live_monitor(df, "ts", "v", width="10 minutes", slide="5 minutes")
     assert sliding.filter("n = 10").count() == 3
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_queries_read_a_table_as_a_file_and_as_a_folder(spark, sf, tmp_path, parts):
+    """Tables of several part files: a stream over the folder's files used to find nothing."""
+    import shutil
+
+    from tripletspark.plans.catalog import REGISTRY
+    for name in ("documents", "events"):
+        if parts:
+            spark.read.parquet(f"{sf}/{name}.parquet").repartition(parts).write.parquet(
+                str(tmp_path / f"{name}.parquet"))
+        else:
+            shutil.copy(f"{sf}/{name}.parquet", tmp_path)
+    assert REGISTRY["k1_incremental_process"](spark, str(tmp_path)).count() == 200
+    got = REGISTRY["k2_live_monitor"](spark, str(tmp_path)).agg(F.sum("n")).first()[0]
+    assert got == spark.read.parquet(f"{sf}/events.parquet").count()

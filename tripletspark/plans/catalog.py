@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def files_of(sf: str, name: str) -> str:
+    """A pattern for one table, be it a file or a folder of part files: a stream takes both by a
+    pattern, but no file by its name."""
+    return f"{sf}/{name}.parque[t]"
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
@@ -1034,8 +1040,8 @@ def k1_incremental_process(spark: SparkSession, sf: str) -> DataFrame:
         return batch.select("doc_id", F.length("text").cast("long").alias("n"))
 
     for _ in range(2):  # the second run finds nothing to do
-        incremental_process(spark, sf, out, point, "doc_id", measure, schema,
-                            glob="documents.parquet")
+        incremental_process(spark, files_of(sf, "documents"), out, point, "doc_id", measure,
+                            schema)
     return processed(spark, out)
 
 
@@ -1067,7 +1073,7 @@ def k1_retry_failed(spark: SparkSession, sf: str) -> DataFrame:
 def k2_live_monitor(spark: SparkSession, sf: str) -> DataFrame:
     out, point = scratch_path(spark, "live"), scratch_path(spark, "progress")
     schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).parquet(files_of(sf, "events"))
     store_windows(live_monitor(stream, "ts", "value", width="1 day", lateness="1 hour"), out,
                   point)
     done = stored_windows(spark, out)
