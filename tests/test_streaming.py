@@ -182,3 +182,26 @@ def test_queries_read_a_table_as_a_file_and_as_a_folder(spark, sf, tmp_path, par
     assert REGISTRY["k1_incremental_process"](spark, str(tmp_path)).count() == 200
     got = REGISTRY["k2_live_monitor"](spark, str(tmp_path)).agg(F.sum("n")).first()[0]
     assert got == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_no_task_holds_a_language(spark, tmp_path):
+    """The files of k1_retry_failed are written where the rows are read, several a language."""
+    from tripletspark.plans import catalog
+    rows = spark.range(600).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 40).alias("text"),
+        F.when(F.col("id") % 3 == 0, "de").when(F.col("id") % 5 != 0, "en").alias("lang"))
+    rows.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    kept = catalog.incremental_process
+    catalog.incremental_process = lambda s, source, *a, **k: (
+        seen.append(source), kept(s, source, *a, **k))[1]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        got = catalog.k1_retry_failed(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        catalog.incremental_process = kept
+    assert sorted((r.doc_id, r.n) for r in got) == [(i, 40) for i in range(600)]
+    files = spark.read.parquet(seen[0]).select("part", F.input_file_name().alias("f")).distinct()
+    most = files.groupBy("part").count().collect()
+    assert len(most) == 3 and all(r["count"] > 1 for r in most)

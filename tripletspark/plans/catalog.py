@@ -1048,11 +1048,14 @@ def k1_incremental_process(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def k1_retry_failed(spark: SparkSession, sf: str) -> DataFrame:
     """Files of one language each; those of one fail in the first run, the second takes them up
-    from the dead letters and finds the progress of all others lost."""
+    from the dead letters and finds the progress of all others lost. The files are written where
+    the rows are read, so no task holds a language; a batch takes one file of each such task."""
     source, out = scratch_path(spark, "by-language"), scratch_path(spark, "incremental")
     d = docs(spark, sf).select("doc_id", "text", "lang")
-    (d.withColumn("part", F.col("lang")).repartition("part").write.partitionBy("part")
-     .parquet(source))
+    down = F.col("lang").eqNullSafe("de")
+    for rows in (d.filter(~down), d.filter(down)):  # the failing files come last
+        (rows.withColumn("part", F.col("lang")).write.mode("append").partitionBy("part")
+         .parquet(source))
 
     def measure(batch: DataFrame) -> DataFrame:
         return batch.select("doc_id", F.length("text").cast("long").alias("n"))
@@ -1061,7 +1064,7 @@ def k1_retry_failed(spark: SparkSession, sf: str) -> DataFrame:
         return measure(batch.filter(F.when(F.col("lang") == "de", F.raise_error(F.lit("down"))
                                            .cast("boolean")).otherwise(F.lit(True))))
 
-    options = {"skip_failed": True, "files_per_batch": 1}
+    options = {"skip_failed": True, "files_per_batch": d.rdd.getNumPartitions()}
     incremental_process(spark, source, out, scratch_path(spark, "progress"), "doc_id", moody,
                         d.schema, **options)
     incremental_process(spark, source, out, scratch_path(spark, "progress"), "doc_id", measure,
