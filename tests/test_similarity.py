@@ -96,6 +96,41 @@ def test_topk_with_many_equal_vectors(spark):
         assert {(r.query_id, r["rank"], r.doc_id) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("exclude", [True, False])
+def test_sets_give_the_whole_result(spark, monkeypatch, exclude):
+    """Many cells, sets and chunks, some rows in one cell: as brute force, and as few as one set."""
+    monkeypatch.setattr(sim, "SLICE_ROWS", 9)
+    for clusters in (0, 9):
+        df, m = cloud(spark, 260, clusters=clusters, seed=5)
+        want = brute_topk(m, m, 7, exclude)
+        for set_bytes in (1, 8 * 8 * 70, 1 << 20):
+            got = sim.mips_topk(df, df, 7, query_id="id", doc_id="id", exclude_self=exclude,
+                                broadcast_rows=0, block_rows=11, set_bytes=set_bytes)
+            assert {(r.query_id, r["rank"], r.doc_id) for r in got.collect()} == want
+            near = sim.similarity_range_counts(df, 0.2, 0.6, block_rows=11, set_bytes=set_bytes)
+            s = np.round(unit(m) @ unit(m).T, 6)
+            inside = ((s >= 0.2) & (s <= 0.6) & ~np.eye(len(m), dtype=bool)).sum(axis=1)
+            assert {r.id: r.n_in_range for r in near.collect()} == dict(enumerate(inside))
+
+
+def test_copies_do_not_grow_with_the_table(spark, monkeypatch):
+    """A row of either side meets a bounded number of units, four times the rows or not; blocks
+    were once met by every chunk, so copies grew with the table."""
+    copies, whole = {}, sim.join_blocks
+
+    def counting(left, right, *rest):
+        copies[n].append((left.count() / n, right.count() / n))
+        return whole(left, right, *rest)
+    monkeypatch.setattr(sim, "join_blocks", counting)
+    for n in (2100, 8400):
+        copies[n] = []
+        df = spark.range(n).select("id", F.array(*[F.randn(i) for i in range(16)]).alias("embedding"))
+        sim.mips_topk(df, df, 3, query_id="id", doc_id="id", broadcast_rows=0, block_rows=64)
+        sim.similarity_range_counts(df, 0.1, 0.5, block_rows=64)
+    for seen in copies.values():
+        assert len(seen) == 3 and max(x for both in seen for x in both) <= sim.GROUPS
+
+
 def test_cells_leave_out_blocks(spark):
     """On clustered data most blocks are never met, and the result is still exact."""
     df, m = cloud(spark, 600, d=6, seed=3, clusters=12)
