@@ -153,3 +153,22 @@ def test_no_possible_pair_is_ruled_out_by_parities():
                for a, b in zip(out.column(0), out.column(1), strict=True)}
         assert near <= got
         assert len(got) < len(near) + 0.05 * far
+
+
+def test_links_of_fingerprints_come_first_and_are_confirmed(spark, monkeypatch):
+    """The stage asks SimHash for candidates; those below the threshold are no links."""
+    asked = []
+    whole = jaccard._by_fingerprint
+
+    def wrong_too(own, width):
+        asked.append({tuple(sorted((r.a, r.b))) for r in whole(own, width).collect()})
+        ids = [r.digest for r in own.select("digest").distinct().collect()]
+        return whole(own, width).union(spark.createDataFrame(
+            [(min(ids), x) for x in ids if x != min(ids)], "a long, b long"))
+    monkeypatch.setattr(jaccard, "_by_fingerprint", wrong_too)
+    base = [f"w{i}" for i in range(900)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "more"])), (2, "quite another text"),
+            (3, " ".join(f"z{i}" for i in range(80)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in jaccard.drop_similar(df).collect()} == {0, 2, 3}
+    assert len(asked) == 1 and len(asked[0]) >= 1

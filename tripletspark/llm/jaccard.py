@@ -1,4 +1,8 @@
-"""Near duplicates by the Jaccard similarity of their word shingles, by an exact prefix join.
+"""Near duplicates by SimHash and the Jaccard similarity of their word shingles.
+
+Fingerprints over the shingles are linked by pigeonring (see simhash); a link counts if the whole
+sets reach the threshold. Most pairs near the threshold have fingerprints too far apart for that,
+so an exact prefix join follows, which starts from what is linked already.
 
 A text is the set of its shingles' 64-bit hashes. Of two sets that reach the threshold t, each
 has at least t of its n hashes in the other, so under any common order of all hashes they share
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletspark.llm.components import components
-from tripletspark.llm.simhash import SEED, keep_first
+from tripletspark.llm.simhash import SEED, fingerprints, hamming_links, keep_first
 from tripletspark.llm.tables import texts
 from tripletspark.session import broadcast_if_small, cut_lineage
 
@@ -43,6 +47,8 @@ RECENT = 100_000
 #: Parities of a set, and partners that meet one copy of a text.
 BITS, BLOCK = 512, 256
 EPSILON = 1e-9
+#: Differing bits at which SimHash fingerprints make candidates.
+NEAR_BITS = 3
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -295,6 +301,20 @@ def _confirmed(own: DataFrame, pairs: DataFrame, width: int, threshold: float) -
                        .mapInArrow(run, "a long, b long"))
 
 
+def _by_fingerprint(own: DataFrame, width: int) -> DataFrame:
+    """a, b: texts whose SimHash fingerprints are equal or linked by pigeonring at NEAR_BITS, of
+    texts with one fingerprint each with the first."""
+    marked = cut_lineage(fingerprints(own.select(F.col("digest").alias("doc_id"), "text"), width)
+                         .select("digest", "fp").dropDuplicates(["digest"]))
+    first = cut_lineage(marked.groupBy("fp").agg(F.min("digest").alias("first")))
+    same = marked.join(first, "fp").where(F.col("digest") != F.col("first")).select(
+        F.col("first").alias("a"), F.col("digest").alias("b"))
+    a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"first{x}")) for x in "ab")
+    near = hamming_links(first.select("fp"), NEAR_BITS).join(a, "a").join(b, "b").select(
+        F.least("firsta", "firstb").alias("a"), F.greatest("firsta", "firstb").alias("b"))
+    return same.union(near)
+
+
 def similar_links(own: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
                   group: int = GROUP) -> DataFrame:
     """a, b: links between different texts (by digest) of at least ``threshold`` that join all
@@ -302,7 +322,6 @@ def similar_links(own: DataFrame, width: int = WIDTH, threshold: float = THRESHO
     level = own.sparkSession.sparkContext.broadcast(sketch(own, width))
     members = _members(own, width, threshold, level)
     marks = _marks(own, cut_lineage(members.select("doc").distinct()), width)
-    members = members.withColumn("root", F.col("doc"))
     found = own.sparkSession.createDataFrame([], "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -310,6 +329,10 @@ def similar_links(own: DataFrame, width: int = WIDTH, threshold: float = THRESHO
         return found if pairs.isEmpty() else cut_lineage(
             found.union(_confirmed(own, pairs, width, threshold)))
 
+    # The method's own links come first; the join by keys finds what fingerprints miss.
+    found = confirmed(_by_fingerprint(own, width))
+    members = members.join(components(found).withColumnRenamed("node", "doc"), "doc", "left"
+                           ).withColumn("root", F.coalesce("root", "doc"))
     for _ in range(STARS):
         first = members.groupBy("key").agg(F.min(F.struct("doc", "n", "root")).alias("first"))
         members = cut_lineage(members.join(first, "key").where(F.col("doc") != F.col("first.doc")))
