@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
 
+from tripletspark.llm import components as components_module
 from tripletspark.llm import simhash
 from tripletspark.llm.components import components
 
@@ -104,3 +107,28 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 0 for i in range(301)} | {900: 900, 901: 900}
     assert components(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_rounds_over_few_links_are_one_task(spark, monkeypatch, most):
+    """Few links or many: the components of brute force. Few are no longer shuffled in a round."""
+    monkeypatch.setattr(components_module, "FEW", most)
+    plans, cut = [], components_module.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+    monkeypatch.setattr(components_module, "cut_lineage", seen)
+    draw = random.Random(3)
+    links = [(draw.randrange(90), draw.randrange(90)) for _ in range(50)]
+    links += [(100 + i, 101 + i) for i in range(9)] + [(None, 5), (7, None), (8, 8)]
+    root = {x: x for pair in links for x in pair if None not in pair and pair[0] != pair[1]}
+    for _ in root:
+        for a, b in links:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted(root.items())
+    assert len(plans) > 2 and all(("Exchange" in p) == (not most) for p in plans[1:])
+    empty = components(spark.createDataFrame([], "a long, b long"))
+    assert empty.count() == 0
